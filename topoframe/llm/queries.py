@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from . import ego, jaccard, topk
+from . import ego, id_files, jaccard, packing, piece_bpe, topk
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego.cosine_classes(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, scale=256.0)
 
@@ -23,10 +27,21 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
+
+
+def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_topk": op3_exact_topk,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_token_id_files": op10_token_id_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
