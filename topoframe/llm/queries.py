@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
-from . import ego, id_files, jaccard, packing, piece_bpe, secrets, topk, toxicity
+from . import edit_counts, ego, id_files, jaccard, licenses, packing, piece_bpe, secrets, topk, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, scale=256.0)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -39,6 +43,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
 
 
+def op9_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -47,10 +55,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_topk": op3_exact_topk,
+    "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_edit_token_counts": op9_edit_token_counts,
     "op10_token_id_files": op10_token_id_files,
 }
 
