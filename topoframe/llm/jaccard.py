@@ -220,7 +220,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     sized = written(cand.join(full.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "classes")
     blocks = sized.groupBy("cls").agg(F.sum("n").alias("total")).select("cls", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("g"))
     placed = sized.join(blocks, "cls").select("doc_id", "cls", "g", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int").alias("b"))
-    texts = base.filter("doc_id is not null and text is not null").join(placed, "doc_id").select("doc_id", "text", "cls", "g", "b")
+    texts = base.filter("doc_id is not null and text is not null").join(placed.hint("merge"), "doc_id").select("doc_id", "text", "cls", "g", "b")
     sets = texts.mapInArrow(_sets(width), "doc_id long, cls long, g int, b int, shingles binary").filter("length(shingles) > 0")
     pairs = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("doc_id", "cls", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "shingles")
     links = pairs.repartition("cls", "i", "j").sortWithinPartitions("cls", "i", "j", "doc_id").mapInArrow(_verify(percent), "src long, dst long")
