@@ -9,6 +9,7 @@ and updates the sums above; the rest of the text is not looked at.
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, slices
-from .word_ids import _CHUNK, WordIds, word_ids
+from .word_ids import _CHUNK, SPACES, WordIds, word_ids
 
 LEAF = 32
 #: Pre-tokens on either side of an edit that are cut again: a run of white space is two at most, so three hold a word.
 CONTEXT = 3
+_SPACE_RUN = re.compile(f"[{SPACES}]+")
 
 
 class CountTree:
@@ -80,11 +82,13 @@ class CountTree:
         while before > 0 and len(head) < CONTEXT:  # leaves may be short or empty after earlier edits
             before -= 1
             head = self.leaves[before] + head
-        while after + 1 < len(self.leaves) and len(tail) < CONTEXT:
+        while after + 1 < len(self.leaves) and len(tail) < CONTEXT + 2:
             after += 1
             tail = tail + self.leaves[after]
         front, back = "".join(self.leaves[first])[:offset], "".join(self.leaves[last])[end:]
         keep_head, keep_tail = max(0, len(head) - CONTEXT), min(len(tail), CONTEXT)
+        while keep_tail < len(tail) and _SPACE_RUN.fullmatch(tail[keep_tail - 1]):
+            keep_tail += 1  # how a run of white space is cut depends on what follows it
         region = "".join(head[keep_head:]) + front + new + back + "".join(tail[:keep_tail])
         fresh = head[:keep_head] + _CHUNK.findall(region) + tail[keep_tail:]
         self.encoded_chars += len(region)
