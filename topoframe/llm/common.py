@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time; the Arrow batch itself stays columnar.
 SLICE_ROWS = 256
-#: Upper bound of entries in a worker's memo tables; a full table is dropped and refilled.
-MEMO_ENTRIES = 700_000
+#: Upper bound of entries in a worker's memo tables.
+MEMO_ENTRIES = 900_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -82,16 +82,19 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 class Memo(dict):
-    """A dict that fills itself and never exceeds a number of entries."""
+    """A dict that fills itself, in two generations: when the young one is full it becomes the old one, from which used entries return."""
 
     def __init__(self, make, most: int = MEMO_ENTRIES, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.old = make, most // 2, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 
 from .common import Memo
@@ -18,6 +19,18 @@ SPACES = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3
 _CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]")
 _HAS_SPACE = re.compile(f"[{SPACES}]")
 
+_CLOSING = ".,;:!?"
+
+
+def _byte_marks() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+_BYTE_MARKS = _byte_marks()
+
 
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
@@ -39,11 +52,23 @@ class WordIds:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        """A word with the space before it."""
+        """A word with the space before it. Letters alone are one unit of the pattern and go to the model at once; closing punctuation is the next unit."""
+        if word.isalpha():
+            return self._letters(word)
+        stem = word.rstrip(_CLOSING)
+        if stem.isalpha() and len(stem) < len(word) and (not self.lower or stem.lower().isalpha()):
+            return self.words[stem] + self.chunks[word[len(stem) :]]
         text = word if self.lower else " " + word
-        if _HAS_SPACE.search(word):
-            return self._pieces(text)
-        return self._whole(text)
+        return self._pieces(text) if _HAS_SPACE.search(word) else self._whole(text)
+
+    def _letters(self, word: str) -> bytes:
+        if self.lower:
+            plain = "".join([c.lower() for c in word])
+            if not (plain.isalpha() and unicodedata.is_normalized("NFC", word)):
+                return self._whole(word)
+        else:
+            plain = " " + word
+        return _packed([t.id for t in self.tokenizer.model.tokenize(plain.encode("utf-8").decode("latin-1").translate(_BYTE_MARKS))])
 
     def _pieces(self, text: str) -> bytes:
         table = self.chunks
