@@ -20,3 +20,8 @@ def query(oracle: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import curation_queries, edge_queries, graph_queries, text_queries  # noqa: F401
