@@ -48,7 +48,7 @@ def manifest(df: DataFrame, domains: list[str] | None = None, splits: list[str]
 
 def prediction_texts(spark: SparkSession, path: str) -> DataFrame:
     """(stem, grp, kind, text): {stem}.nodes.txt, {stem}.gNN.edge_graph.txt or {stem}.txt."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"))
     shape = r"^(.*?)(?:\.g(\d+))?(?:\.(nodes|edge_graph))?\.txt$"
     return raw.select(F.regexp_extract("file", shape, 1).alias("stem"), F.regexp_extract("file", shape, 2).try_cast("int").alias("grp"), F.regexp_extract("file", shape, 3).alias("kind"), "text")
 
