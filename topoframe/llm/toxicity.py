@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -29,14 +29,15 @@ IDENTITY_TERMS = [
     ["immigrant", "refugee", "foreigner", "local"], ["deaf", "blind", "disabled", "autistic"], ["old", "young", "elderly"],
 ]
 #: Documented bounds of the training sample, and of the model.
-MOST_TOXIC, MOST_CLEAN, MOST_FEATURES, SWAPS = 4000, 8000, 6000, 3
+MOST_TOXIC, MOST_CLEAN, MOST_FEATURES, SWAPS = 3000, 6000, 6000, 3
 _WORD = re.compile(r"\w+")
 _SWAP = {t: [x for x in group if x != t] for group in IDENTITY_TERMS for t in group}
 
 
-def features(word: str) -> list[str]:
-    """A lower-case word's features: itself, and its beginnings of 4 to 6 letters (not of identity terms, which are swapped whole)."""
-    return [word] if word in _SWAP else [word, *(f"{word[:k]}-" for k in (4, 5, 6) if len(word) >= k)]
+def features(word: str) -> list[int]:
+    """Hashes of a lower-case word's features: itself, and its beginnings of 4 to 6 letters (not of identity terms, which are swapped whole)."""
+    names = [word] if word in _SWAP else [word, *(f"{word[:k]}-" for k in (4, 5, 6) if len(word) >= k)]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names]
 
 
 def distinct_words(text: str | None) -> set[str]:
@@ -46,27 +47,35 @@ def distinct_words(text: str | None) -> set[str]:
 @dataclass
 class Model:
     bias: float
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
 
     def logit(self, words: Iterable[str]) -> float:
         active = {f for w in words for f in features(w)}
         return self.bias + math.fsum(self.weights[f] for f in active if f in self.weights)
 
 
-def _family(words: set[str]) -> tuple:
-    """A key that near-copies mostly share, so that a large group of them doesn't rule the sample."""
-    long = [zlib.crc32(w.encode()) for w in words if len(w) >= 9]
-    return (min(long),) if long else tuple(sorted(words)[:8])
+@dataclass
+class Example:
+    """A labelled text: its distinct feature hashes, its identity terms, and a key that near-copies mostly share."""
+
+    features: np.ndarray
+    terms: list[str]
+    family: int
+    label: int
+
+    @classmethod
+    def of(cls, words: set[str], label: int) -> Example:
+        long = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words if len(w) >= 9]
+        family = min(long) if long else zlib.crc32(" ".join(sorted(words)[:8]).encode("utf-8", "surrogatepass"))
+        found = np.unique(np.array([f for w in words for f in features(w)], dtype=np.uint32))
+        return cls(found, sorted(words & _SWAP.keys()), family, label)
 
 
 class _Rows:
-    """Sparse 0/1 (or signed) rows."""
+    """Sparse rows as (row, column, value)."""
 
-    def __init__(self, rows: list[dict[int, float]], width: int):
-        self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.array([c for r in rows for c in r], dtype=np.int64)
-        self.val = np.array([v for r in rows for v in r.values()])
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, width: int):
+        self.row, self.col, self.val, self.n, self.width = row, col, val, n, width
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], minlength=self.n)
@@ -75,49 +84,52 @@ class _Rows:
         return np.bincount(self.col, self.val * r[self.row], minlength=self.width)
 
 
-def fit(examples: list[tuple[set[str], int]], swap_weight: float = 5.0, ridge: float = 3e-4, steps: int = 400, per_family: int = 2) -> Model:
-    """Examples are (distinct words, label). With one label only, the model is its smoothed rate."""
+def _counts(rows: list[Example], label: int) -> tuple[np.ndarray, np.ndarray]:
+    own = [r.features for r in rows if r.label == label]
+    return np.unique(np.concatenate(own) if own else np.empty(0, np.uint32), return_counts=True)
+
+
+def fit(examples: Iterable[Example | tuple[set[str], int]], swap_weight: float = 5.0, ridge: float = 3e-4, steps: int = 400, per_family: int = 2) -> Model:
+    """Fit examples (or pairs of distinct words and label). With one label only, the model is its smoothed rate."""
     seen: Counter = Counter()
-    kept = []
-    for words, y in examples:
-        key = (y, _family(words))
-        seen[key] += 1
-        if seen[key] <= per_family:
-            kept.append((words, y))
-    n1 = sum(y for _, y in kept)
+    kept: list[Example] = []
+    for e in examples:
+        e = e if isinstance(e, Example) else Example.of(*e)
+        seen[e.label, e.family] += 1
+        if seen[e.label, e.family] <= per_family:
+            kept.append(e)
+    n1 = sum(e.label for e in kept)
     n0 = len(kept) - n1
     rate = (n1 + 0.5) / (len(kept) + 1.0) if kept else 0.1
     if not n1 or not n0:
         return Model(math.log(rate / (1 - rate)))
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    rows = [{f for w in words for f in features(w)} for words, _ in kept]
-    for fs, (_, y) in zip(rows, kept, strict=True):
-        for f in fs:
-            counts[f][y] += 1
-    strength, prior = {}, {}
-    for f, (a, b) in counts.items():
-        if a + b >= 5:
-            odds = math.log((b + 0.5) / (n1 + 1)) - math.log((a + 0.5) / (n0 + 1))
-            sure = abs(odds) - 2.6 * math.sqrt(1 / (b + 0.5) + 1 / (a + 0.5))
-            if odds > 0 and sure > 0:
-                strength[f] = sure * math.sqrt(b)
-                prior[f] = 0.0 if f in _SWAP else sure / 2
-    chosen = sorted(strength, key=lambda f: (-strength[f], f))[:MOST_FEATURES]
-    chosen += sorted(t for t in _SWAP if t in counts and t not in strength)
-    place = {f: i for i, f in enumerate(chosen)}
+    (f1, c1), (f0, c0) = _counts(kept, 1), _counts(kept, 0)
+    at = np.minimum(np.searchsorted(f0, f1), max(len(f0) - 1, 0))
+    below = np.where(f0[at] == f1, c0[at], 0) if len(f0) else np.zeros(len(f1), int)
+    odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((below + 0.5) / (n0 + 1))
+    sure = odds - 2.6 * np.sqrt(1 / (c1 + 0.5) + 1 / (below + 0.5))
+    good = np.flatnonzero((c1 + below >= 5) & (odds > 0) & (sure > 0))
+    good = good[np.lexsort((f1[good], -sure[good] * np.sqrt(c1[good])))][:MOST_FEATURES]
+    terms = {t: features(t)[0] for e in kept for t in e.terms}
+    prior = {int(f1[i]): float(sure[i]) / 2 for i in good} | dict.fromkeys(terms.values(), 0.0)
+    chosen = np.array(sorted(prior), dtype=np.uint32)
+    place = {int(f): i for i, f in enumerate(chosen)}
     m = len(chosen)
-    x = _Rows([{place[f]: 1.0 for f in fs if f in place} for fs in rows], m)
-    y = np.array([y for _, y in kept], float)
-    moved = []
-    for words, _ in kept:
-        for t in sorted(words & _SWAP.keys()):
-            others = sorted(_SWAP[t], key=lambda o: zlib.crc32(f"{t}>{o}".encode()))[:SWAPS]
-            for o in others:
-                change = ({place[t]: -1.0} if t in place else {}) | ({place[o]: 1.0} if o in place and o not in words else {})
-                if change:
-                    moved.append(change)
-    d = _Rows(moved, m) if moved else None
-    start = np.array([prior.get(f, 0.0) for f in chosen])  # cautious log odds; the ridge pulls towards them
+    cols = [np.searchsorted(chosen, np.intersect1d(e.features, chosen, assume_unique=True)) for e in kept]
+    row = np.repeat(np.arange(len(kept)), [len(c) for c in cols])
+    x = _Rows(row, np.concatenate(cols).astype(np.int64), np.ones(len(row)), len(kept), m)
+    y = np.array([e.label for e in kept], float)
+    moved: list[dict[int, float]] = []
+    for e in kept:
+        for t in e.terms:
+            for o in sorted(_SWAP[t], key=lambda o: zlib.crc32(f"{t}>{o}".encode()))[:SWAPS]:
+                change = {place[terms[t]]: -1.0} | ({place[terms[o]]: 1.0} if o in terms and o not in e.terms else {})
+                moved.append(change)
+    d = None
+    if moved:
+        cells = [(r, c, v) for r, change in enumerate(moved) for c, v in change.items()]
+        d = _Rows(*(np.array(z) for z in zip(*cells, strict=True)), len(moved), m)
+    start = np.array([prior[int(f)] for f in chosen])  # cautious log odds; the ridge pulls towards them
     w, bias = start.copy(), math.log(rate / (1 - rate))
     mom, vel, mb, vb = np.zeros(m), np.zeros(m), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -131,20 +143,21 @@ def fit(examples: list[tuple[set[str], int]], swap_weight: float = 5.0, ridge: f
         rate_ = 0.05 * (1 - step / (steps + 1))
         w -= rate_ * (mom / (1 - 0.9**step)) / (np.sqrt(vel / (1 - 0.99**step)) + 1e-8)
         bias -= rate_ * (mb / (1 - 0.9**step)) / (math.sqrt(vb / (1 - 0.99**step)) + 1e-8)
-    return Model(float(bias), {f: float(w[i]) for f, i in place.items()})
+    return Model(float(bias), {int(f): float(v) for f, v in zip(chosen, w, strict=True)})
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        words = [sorted(distinct_words(t)) for t in part.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+        got = [Example.of(distinct_words(t), y) for y, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+        cols = [pa.array([e.features.tobytes() for e in got], pa.binary()), pa.array([e.terms for e in got], pa.list_(pa.string())), pa.array([e.family for e in got], pa.int64())]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["doc_id", "toxic", "features", "terms", "family"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most MOST_TOXIC + MOST_CLEAN labelled rows of the training folds (crc32(doc_id) mod 3 is not 1), in hash order.
 
     Rows with a null id or label are no labels; of a repeated label the highest counts. The sample's ids, bounded by those two
-    numbers, are broadcast; the documents are scanned once and not shuffled.
+    numbers, are broadcast; the documents are scanned once and not shuffled. The driver gets four bytes a feature of the sample.
     """
     prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
@@ -152,8 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, MOST_TOXIC).unionAll(pick(0, MOST_CLEAN))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, words array<string>").collect()
-    return fit([(set(r.words), r.toxic) for r in sorted(got, key=lambda r: r.doc_id)])
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(_examples, "doc_id long, toxic int, features binary, terms array<string>, family long").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    cells = lambda i: {n: got.column(n)[int(i)].as_py() for n in ("features", "terms", "family", "toxic")}
+    return fit(Example(np.frombuffer(c["features"], np.uint32), c["terms"], c["family"], c["toxic"]) for c in map(cells, order))
 
 
 def _scores(model: Model):
