@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time; the Arrow batch itself stays columnar.
 SLICE_ROWS = 256
-#: Upper bound of entries in a worker's memo tables.
-MEMO_ENTRIES = 900_000
+#: Upper bound of entries in a memo table of a worker, some 200 bytes each.
+MEMO_ENTRIES = 600_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -82,11 +82,18 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 class Memo(dict):
-    """A dict that fills itself, in two generations: when the young one is full it becomes the old one, from which used entries return."""
+    """A dict that fills itself, in two generations: when the young one is full it becomes the old one, from which used entries return.
 
-    def __init__(self, make, most: int = MEMO_ENTRIES, longest: int = 64):
+    All memos of a worker together hold one operator's entries: claim() empties those of the one before.
+    """
+
+    owner: str | None = None
+    living: list[Memo] = []
+
+    def __init__(self, make, most: int = MEMO_ENTRIES, longest: int = 48):
         super().__init__()
         self.make, self.most, self.longest, self.old = make, most // 2, longest, {}
+        Memo.living.append(self)
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -99,6 +106,18 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def __reduce__(self):
+        raise TypeError("a memo stays in its worker")
+
+    @classmethod
+    def claim(cls, owner: str) -> None:
+        """Called where an operator starts in a task; a reused worker doesn't keep what other operators remembered."""
+        if cls.owner not in (None, owner):
+            for memo in cls.living:
+                memo.clear()
+                memo.old = {}
+        cls.owner = owner
+
 
 def crc_fold(col):
     """crc32 of an id written as text, modulo 3."""

@@ -80,6 +80,7 @@ def prefix_lists(n: int, percent: int) -> tuple[int, int]:
 
 def _prefixes(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.claim("shingles")
         for part in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -95,6 +96,7 @@ def _prefixes(width: int, percent: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.claim("shingles")
         for part in slices(batches):
             sets = [shingle_set(t, width).tobytes() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(i) for i in range(2, part.num_columns)], pa.array(sets, pa.binary())], [part.schema.names[0], *part.schema.names[2:], "shingles"])

@@ -125,7 +125,7 @@ class PieceBpe:
                 j += 1
             else:
                 break
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) > 400_000:
             self._fits.clear()
         self._fits[a, b] = ok
         return ok
@@ -245,6 +245,7 @@ _models: dict[str, PieceBpe] = {}
 
 
 def model(path: str) -> PieceBpe:
+    Memo.claim(path)
     if path not in _models:
         _models[path] = PieceBpe(path)
     return _models[path]

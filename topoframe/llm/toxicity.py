@@ -171,10 +171,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(Example(np.frombuffer(c["features"], np.uint32), c["terms"], c["family"], c["toxic"]) for c in map(cells, order))
 
 
+_worker: dict = {}
+
+
+def _known(model: Model) -> Memo:
+    """A worker's memo of the model's features in a token; another model starts it anew."""
+    sign = (model.bias, len(model.weights))
+    if _worker.get("sign") != sign:
+        memo = _worker.setdefault("memo", Memo(lambda token: tuple({f for w in _WORD.findall(token) for f in features(w) if f in _worker["weights"]})))
+        memo.clear()
+        memo.old = {}
+        _worker.update(sign=sign, weights=model.weights)
+    return _worker["memo"]
+
+
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.claim("toxicity")
         weights = model.weights
-        known = Memo(lambda token: tuple({f for w in _WORD.findall(token) for f in features(w) if f in weights}))
+        known = _known(model)
         at = None
         for part in slices(batches):
             at = part.schema.get_field_index("_text") if at is None else at

@@ -46,7 +46,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None  # the word-end vocabulary normalises and drops white space
         self.words = Memo(self._word)
-        self.chunks = Memo(self._whole)
+        self.chunks = Memo(self._whole, 200_000)
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -97,6 +97,7 @@ _loaded: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
+    Memo.claim(path)
     if path not in _loaded:
         _loaded[path] = WordIds(path)
     return _loaded[path]
