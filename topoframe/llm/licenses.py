@@ -64,6 +64,10 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+#: Words too common in prose to tell a licence by, unless a template has no others.
+COMMON = set("a all also an and any are as at be been but by can do for from had has have he his if in is it its may new no not of on one or other she so some that the their there they this to was we were which will with you your 0 1 2 3 4".split())
+
+
 def words_of(text: str) -> list[str]:
     return re.sub(r"[^\w]+|_+", " ", text.lower()).split()
 
@@ -81,7 +85,7 @@ def telling_words(templates: list[tuple[str, str]], threshold: float) -> list[st
         free = [g for g in grams if not set(g) & set(chosen)]
         least = math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
         while len(free) >= least:
-            best = max({w for g in free for w in g}, key=lambda w: (min(len(w), 7) * sum(w in g for g in free), w))
+            best = max({w for g in free for w in g}, key=lambda w: (w not in COMMON, min(len(w), 7) * sum(w in g for g in free), w))
             chosen.append(best)
             free = [g for g in free if best not in g]
     return chosen
@@ -110,10 +114,15 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
     units = F.concat(unit("line", lines), F.when(F.size(parts) > 1, unit("paragraph", parts)).otherwise(none), F.when(F.size(lines) > 1, unit("document", F.array("text"))).otherwise(none))
     cut = rough.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.unit", "u.position", F.col("u.t").alias("t"))
     cut = cut.filter(F.col("t").rlike(rf"(?iU)(?<![^\W_])(?:{telling})(?![^\W_])"))
+    # explode(array(x)) keeps x computed once: the optimiser would push the last filter down and copy every step into it
+    once = lambda df, keep, name, x: df.select(*keep, F.explode(F.array(x)).alias(name))
+    unit_key = ["doc_id", "unit", "position"]
     words = F.filter(F.split(F.regexp_replace(F.lower("t"), r"(?U)[^\w]+|_+", " "), " "), lambda w: w != "")
-    grams = cut.select("doc_id", "unit", "position", words.alias("w")).select("doc_id", "unit", "position", _bigrams(F.col("w")).alias("a"))
-    low, high = threshold / (2 - threshold) - 1e-12, (2 - threshold) / threshold + 1e-12
+    grams = once(once(cut, unit_key, "w", words), unit_key, "a", _bigrams(F.col("w")))
     sized = [(name, bigrams_of(text)) for name, text in templates]
+    sizes = [len(b) for _, b in sized if b]
+    low, high = threshold / (2 - threshold) - 1e-12, (2 - threshold) / threshold + 1e-12
+    grams = grams.filter(F.size("a").between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
     dices = []
     for name, b in sized:
         if not b:
@@ -122,5 +131,5 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
         dice = 2.0 * F.size(F.array_intersect("a", F.array(*map(F.lit, b)))) / (F.size("a") + F.lit(len(b)))
         dices.append(F.when(fits, F.struct((-dice).alias("d"), F.lit(name).alias("license"))))
     best = F.array_min(F.array(*dices))  # nulls are left out
-    found = grams.withColumn("best", best).filter(F.col("best.d") <= -threshold + 1e-12)
+    found = once(grams, unit_key, "best", best).filter(F.col("best.d") <= -threshold + 1e-12)
     return found.select("doc_id", "unit", F.col("position").cast("long").alias("position"), "best.license", F.round(-F.col("best.d"), 6).alias("dice"))
