@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topoframe.functions import geometry as G
-from topoframe.operators import curation, graph, matching, parsing, reports, scoring, sft, validation
+from topoframe.operators import curation, generate, graph, matching, parsing, reports, scoring, sft, validation
 from topoframe.sources import files
 from topoframe.streaming import monitor
 
@@ -202,3 +202,20 @@ def test_streamed_rate_equals_batch(spark, tmp_path):
     q.stop()
     assert sorted((r.n, r.passed) for r in spark.table("rates").collect()) == [(1, 1), (2, 1)]
     assert sorted((r.n, r.passed) for r in monitor.pass_rate(batch, "t", F.col("ok")).collect()) == [(1, 1), (3, 2)]
+
+
+def test_generated_cases(spark):
+    a = {r.graph: r for r in generate.cases(spark, 60, 5, ["A", "B"]).collect()}
+    assert a == {r.graph: r for r in generate.cases(spark, 60, 5, ["A", "B"]).repartition(7).collect()} and len(a) >= 50
+    nodes_, edges_ = generate.exploded(generate.cases(spark, 60, 5, ["A", "B"]))
+    assert validation.endpoint_violations(nodes_, edges_, "graph").count() == 0
+
+
+def test_training_text_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([("t", '{"nodes": [{"id": "é"}]}')], "t string, j string")
+    assert df.select(graph.training_text(F.col("t"), F.col("j")).alias("x")).first().x == 't\n\n<FINAL_GRAPH>\n{\n  "nodes": [\n    {\n      "id": "é"\n    }\n  ]\n}\n</FINAL_GRAPH>'
+    files.write_report(df, str(tmp_path / "r"), ["t"])
+    assert spark.read.text(str(tmp_path / "r"), wholetext=True).count() == 1
+    assert files.task_manifests("f", "node", exists=lambda p: p.endswith("train.jsonl")) == ("f/node/train.jsonl", None)
+    with pytest.raises(FileNotFoundError):
+        files.task_manifests("f", "node", exists=lambda p: False)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topoframe.functions.geometry import path_length
+
 
 def undirected(edges: DataFrame, both_ways: Column) -> DataFrame:
     """Edges and the reverse of those that run both ways; ``direction`` tells them apart."""
@@ -125,3 +130,33 @@ def think_graph(nodes: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
     whole = rows.groupBy(graph).agg(F.array_sort(F.collect_list(F.struct("num", "tag", "block"))).alias("r"))
     text = F.concat(F.lit("<NODES>\n"), F.array_join(F.transform("r", lambda x: x["tag"]), "\n"), F.lit("\n</NODES>\n<THINK_GRAPH>\n"), F.array_join(F.transform("r", lambda x: x["block"]), "\n"), F.lit("\n</THINK_GRAPH>"))
     return whole.select(graph, text.alias("think_graph"))
+
+
+def repair_isolated(nodes: DataFrame, edges: DataFrame, graph: str, kind: str = "directed") -> DataFrame:
+    """Edges and one more for each node without any, from or to its nearest node, earlier position first; two such nodes that are nearest to each other share one."""
+    pos = nodes.select(graph, "id", "pos")
+    near = nearest(nodes, graph, of=isolated(nodes, edges, graph))
+    near = near.join(pos.withColumnRenamed("pos", "p1"), [graph, "id"]).join(pos.select(graph, F.col("id").alias("near_id"), F.col("pos").alias("p2")), [graph, "near_id"])
+    first = F.col("p1") < F.col("p2")
+    added = near.select(graph, F.when(first, F.col("id")).otherwise(F.col("near_id")).alias("source"), F.when(first, F.col("near_id")).otherwise(F.col("id")).alias("target"), F.lit(kind).alias("type")).distinct()
+    return edges.select(graph, "source", "target", "type").unionAll(added)
+
+
+def type_budget(edges: DataFrame, graph: str, kind: str, share: float, order: list[str]) -> DataFrame:
+    """Of one type at most a share of a graph's edges, the first ones in order; other types stay."""
+    n = F.count("*").over(Window.partitionBy(graph))
+    rank = F.row_number().over(Window.partitionBy(graph, "type").orderBy(*order))
+    return edges.withColumns({"_n": n, "_r": rank}).filter((F.col("type") != kind) | (F.col("_r") <= F.floor(F.col("_n") * share))).drop("_n", "_r")
+
+
+def long_enough(edges: DataFrame, path: str = "path", least: float = 35.0) -> DataFrame:
+    return edges.filter(path_length(path) >= least)
+
+
+def training_text(think: Column, final_json: Column) -> Column:
+    """think, a blank line, then the final graph indented by two in its tags; the layout needs Python's writer."""
+    @F.pandas_udf("string")
+    def indented(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False, indent=2))
+
+    return F.concat(think, F.lit("\n\n<FINAL_GRAPH>\n"), indented(final_json), F.lit("\n</FINAL_GRAPH>"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topoframe.functions import geometry as G
-from topoframe.operators import graph, validation
+from topoframe.operators import generate, graph, validation
 
 from . import views as V
 from .registry import query
@@ -171,3 +171,28 @@ def think_graph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = F.array(F.lit(1), F.lit(2))
     edges = e.withColumns({"type": F.lit("directed"), "start": point, "mid": point, "end": point, "arrow": F.lit(None).cast("array<int>"), "num": F.xxhash64("source", "target")})
     return graph.think_graph(nodes, edges, "sample_id")
+
+
+@query(f"""WITH {V.EDGES}, r AS (SELECT *, count(*) OVER (PARTITION BY sample_id) AS n, row_number() OVER (PARTITION BY sample_id, type ORDER BY ok, ln, qty, source, target) AS r FROM edges_gold)
+SELECT sample_id, type, count(*) AS n FROM r WHERE type <> 'N' OR r <= floor(n * 0.45) GROUP BY ALL""")
+def edge_type_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = graph.type_budget(_edges(spark, sf_dir), "sample_id", "N", 0.45, ["ok", "ln", "qty", "source", "target"])
+    return kept.groupBy("sample_id", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_CENTERS}, ring AS (SELECT sample_id, 'n' || (pos % 20 + 1) AS source, 'n' || ((pos + 4) % 20 + 1) AS target FROM nodes WHERE pos % 5 = 0),
+lonely AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM ring r WHERE r.sample_id = c.sample_id AND (r.source = c.id OR r.target = c.id))),
+d AS (SELECT a.sample_id, a.id, a.pos, b.id AS near_id, b.pos AS near_pos FROM lonely a JOIN c b ON a.sample_id = b.sample_id AND a.id <> b.id
+  QUALIFY row_number() OVER (PARTITION BY a.sample_id, a.id ORDER BY sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)), b.pos) = 1)
+SELECT sample_id, source, target, 'ring' AS type FROM ring UNION ALL SELECT DISTINCT sample_id, CASE WHEN pos < near_pos THEN id ELSE near_id END, CASE WHEN pos < near_pos THEN near_id ELSE id END, 'directed' FROM d""")
+def repaired_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = lambda e: F.concat(F.lit("n"), e + 1)
+    ring = V.nodes(spark, sf_dir).filter("pos % 5 = 0").select("sample_id", end(F.col("pos") % 20).alias("source"), end((F.col("pos") + 4) % 20).alias("target"), F.lit("ring").alias("type"))
+    return graph.repair_isolated(_centers(spark, sf_dir), ring, "sample_id")
+
+
+@query()
+def generated_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many seeded cases as there are embedding graphs; tests/ checks that each is valid and depends on its seed alone."""
+    n = V.table(spark, sf_dir, "embeddings").count() // 20
+    return generate.cases(spark, n, 8120, ["Pump", "Valve", "Tank", "Filter", "Motor"])

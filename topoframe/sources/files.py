@@ -84,3 +84,26 @@ def checkpoints(df: DataFrame, path: str, parts: dict[str, str], mode: str = "ov
             write_jsonl(held.filter(rule), f"{path}/{name}", mode)
     finally:
         held.unpersist()
+
+
+def write_report(report: DataFrame, path: str, keys: list[str]) -> None:
+    """A small grouped report as one pretty JSON document, ordered by its keys; written by one task."""
+    rows = report.orderBy(*keys).agg(F.collect_list(F.struct(*report.columns)).alias("rows"))
+    rows.select(F.to_json("rows", {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def task_manifests(folder: str, task: str, train: str | None = None, evaluation: str | None = None, no_eval: bool = False, exists=None) -> tuple[str, str | None]:
+    """Paths of a task's manifests: given ones, else {folder}/{task}/{train,val}.jsonl; a missing train file raises, a missing evaluation file is none."""
+    from pathlib import Path
+
+    exists = exists or (lambda p: Path(p).exists())
+    train = train or f"{folder}/{task}/train.jsonl"
+    if not exists(train):
+        raise FileNotFoundError(train)
+    evaluation = evaluation or f"{folder}/{task}/val.jsonl"
+    return train, None if no_eval or not exists(evaluation) else evaluation
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Add records to a log; read it back with curation.last_by_key."""
+    write_jsonl(df, path, "append")
