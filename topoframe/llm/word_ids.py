@@ -20,6 +20,8 @@ _CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]")
 _HAS_SPACE = re.compile(f"[{SPACES}]")
 
 _CLOSING = ".,;:!?"
+#: Words that a worker remembers, some 200 bytes each.
+WORD_ENTRIES = 900_000
 
 
 def _byte_marks() -> dict[int, int]:
@@ -45,7 +47,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None  # the word-end vocabulary normalises and drops white space
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, WORD_ENTRIES)
         self.chunks = Memo(self._whole, 200_000)
 
     def _whole(self, text: str) -> bytes:
@@ -81,6 +83,8 @@ class WordIds:
             return b""
         if "<|" in text:
             return self._whole(text)
+        if self.lower and (text.isascii() or ("\u0130" not in text and max(text) < "\u0250")):
+            text = text.lower()  # letter by letter up to here, without compositions, so one memo entry serves every case
         words = text.split(" ")
         if self.lower or "" in words:
             return self._pieces(text) if "" in words else self._joined(words)
