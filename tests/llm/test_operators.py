@@ -126,6 +126,31 @@ def test_cosine_classes_against_all_pairs(spark, monkeypatch):
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in repeated if x.vec_id) == [(1, 2, 1), (3, 2, 1), (3, 2, 1)]
 
 
+def test_leaf_links_join_whole_classes():
+    label = np.array([0, 1, 2, 2])  # c1, c2 and the class r1, r2; links r1-c1 and r2-c2
+    ego._spanned(np.eye(2, dtype=bool), 2, 0, label)
+    assert label.tolist() == [0, 0, 0, 0]
+    r = np.random.default_rng(15)
+    for _ in range(200):
+        label, links = np.arange(40), []
+        for _ in range(12):
+            a, b = 8 * r.integers(0, 5, 2)
+            mask = r.random((8, 8)) < 0.04
+            links += [(a + i, b + j) for i, j in zip(*np.nonzero(mask), strict=True)]
+            if mask.any():
+                ego._spanned(mask, a, b, label)
+        assert label.tolist() == roots(40, links)
+
+
+def test_chain_over_many_leaves(monkeypatch):
+    monkeypatch.setattr(ego, "LEAF", 2)
+    turn = np.deg2rad([0, 180, 85, 270, 34, 51, 17, 68])  # O1, -, O2, -, r1, r2, c1, c2: the chain O1-c1-r1-r2-c2-O2
+    m = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    block = (np.arange(8).tobytes(), np.ones(8, np.int64).tobytes(), m.tobytes())
+    _, weight, label = ego.join_blocks(block, block, np.eye(2), 0.95, True)
+    assert label.tolist() == [0, 1, 0, 3, 0, 0, 0, 0] and weight.tolist() == [1, 0, 1, 0, 2, 2, 2, 2]
+
+
 def test_topk_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)

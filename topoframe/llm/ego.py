@@ -126,13 +126,13 @@ def _spanned(mask: np.ndarray, a0: int, b0: int, label: np.ndarray) -> None:
             break
         la, lb = na, nb
     new = np.concatenate([la, lb])
-    while True:  # labels that met carry their whole class along
-        move = np.arange(top)
-        np.minimum.at(move, old, new)
-        if (move[label] == label).all():
-            return
-        label[:] = move[label]
-        old, new = move[old], move[new]
+    move = np.arange(top)  # every (old, new) pair joins two classes, either way: an old label may lie in several groups of links
+    while (move[old] != move[new]).any():
+        least = np.minimum(move[old], move[new])
+        np.minimum.at(move, old, least)
+        np.minimum.at(move, new, least)
+        move = move[move]
+    label[:] = move[label]
 
 
 def join_blocks(left: tuple, right: tuple, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
