@@ -334,6 +334,25 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, (1, "a")).limit(0)).count() == 0
 
 
+def test_licenses_over_several_lines(spark):
+    mit, bsd = (next(t for n, t in licenses.TEMPLATES if n == name and len(t) > 300) for name in ("MIT", "BSD-3-Clause"))
+    paragraphs = lambda t, *at: "\n\n".join(t[a:b] for a, b in zip((0, *map(t.index, at)), (*map(t.index, at), None), strict=True))
+    three = paragraphs(mit, "The above copyright", "THE SOFTWARE IS")
+    prose = "\n\n".join(f"Words about the weather, day {k},\nand of the sea in number {k} too." for k in range(40))
+    one = "\n".join(" ".join(mit.split()[k : k + 9]) for k in range(0, len(mit.split()), 9))
+    rows = [
+        f"{prose}\n\n{three}\n\n{prose}", f"{prose}\n\n{one}\n\n{prose}", f"{prose.replace(chr(10) * 2, chr(10))}\n{one}\n{prose}", f"{prose}\n\n{paragraphs(bsd, '1. Re', '2. Re', '3. Nei', 'THIS SOFT')}\n\n{prose}",
+        f"{three}\n\n{prose}\n\n{three}", f"{prose}\nLicensed under\nCC BY 4.0.\n{prose}", "the software\n" * 200, prose, "Licensed under CC BY 4.0.\n" * 50,
+    ]
+    got = {}
+    for x in licenses.scan(docs(spark, *enumerate(rows))).filter("unit = 'lines'").collect():
+        got.setdefault(x.doc_id, set()).add((x.position, x.license, x.dice))
+    line = lambda k, start: rows[k][: rows[k].rindex(start)].count("\n")
+    grant = {k: (line(k, "Permission is hereby"), "MIT", 1.0) for k in (0, 2, 4)}
+    want = {0: {grant[0]}, 2: {grant[2]}, 3: {(line(3, "Redistribution and"), "BSD-3-Clause", 1.0)}, 4: {(0, "MIT", 1.0), grant[4]}, 5: {(line(5, "Licensed under"), "CC-BY-4.0", 1.0)}}
+    assert got == want  # row 1 is a paragraph's
+
+
 def test_secrets(spark):
     key, hash_ = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     rows = [

@@ -4,6 +4,10 @@ Texts are cut into lines, paragraphs and the whole document; each unit is normal
 but letters and digits are one space). Dice >= t needs ``t / (2 - t) <= |A| / |B| <= (2 - t) / t``, so only templates of a fitting
 size are compared. It also needs at least ``t / (2 - t)`` of a template's bigrams in the unit, so a document without any of
 a few telling words that cover more than the rest of every template is not cut up at all; nothing is lost by it.
+
+Runs of two or more lines (so of paragraphs too) are units as well. Only templates with ``t / (2 - t)`` of their bigrams in the
+document are looked for, only lines where one of these starts begin a run, and a run ends only where it gains one: any
+other run is no better than one of these.
 """
 
 from __future__ import annotations
@@ -97,11 +101,90 @@ def _bigrams(words: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)[^\w]+|_+", " "), " "), lambda w: w != "")
+
+
+def _once(df: DataFrame, keep: list[str], name: str, x: Column) -> DataFrame:
+    """explode(array(x)) keeps x computed once: the optimiser would push later filters down and copy every step into them."""
+    return df.select(*keep, F.explode(F.array(x)).alias(name))
+
+
+def _runs(rough: DataFrame, sized: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
+    """Rows of scan() for runs of lines."""
+    low, high = threshold / (2 - threshold) - 1e-12, (2 - threshold) / threshold + 1e-12
+    number = lambda c: c.cast("int")
+    distinct = lambda grams: F.size(F.array_distinct(grams))
+    kept = ["doc_id"]
+    step = _once(rough.filter(F.contains("text", F.lit("\n"))), kept, "l", F.split("text", "\n"))
+    blank = F.array_compact(F.transform("l", lambda t, i: F.when(t.rlike(r"^[ \t\r]*\z"), number(i))))
+    step = step.select("doc_id", blank.alias("blank"), F.transform("l", _words).alias("l"))
+    kept += ["blank"]
+    # of each word: the word, its line, its place in the line, the line's words
+    placed = F.flatten(F.transform("l", lambda ws, i: F.transform(ws, lambda w, k: F.struct(w.alias("w"), number(i).alias("line"), number(k).alias("k"), F.size(ws).alias("n")))))
+    step = _once(step, kept, "w", placed).filter(F.size("w") >= 2)
+    kept += ["w"]
+    at = lambda i: F.get("w", i)
+    step = _once(step, kept, "g", F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(at(i)["w"], F.lit(" "), at(i + 1)["w"])))
+    kept += ["g"]
+    every = sorted({x for _, b in sized for x in b})
+    # a hit, at word p, goes from line a, whose first word is number ``first``, to line b, whose last is number ``last``
+    place = lambda x, p: F.struct(
+        x.alias("x"), number(p).alias("p"), at(p)["line"].alias("a"), number(p - at(p)["k"]).alias("first"), at(p + 1)["line"].alias("b"), number(p - at(p + 1)["k"] + at(p + 1)["n"]).alias("last")
+    )
+    step = _once(step, kept, "h", F.array_compact(F.transform("g", lambda x, p: F.when(x.isin(every), place(x, p)))))
+    known = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b"), F.lit(math.ceil(low * len(b))).alias("least")) for k, (name, b) in enumerate(sized)))
+    there = F.filter(known, lambda t: F.size(F.array_intersect(F.col("h")["x"], t["b"])) >= t["least"])
+    step = _once(step, [*kept, "h"], "t", there).filter(F.size("t") > 0)
+    step = _once(step, kept, "t", F.transform("t", lambda t: F.struct(t["k"].alias("k"), t["license"].alias("license"), t["least"].alias("least"), F.size(t["b"]).alias("n"), F.filter("h", lambda h: F.array_contains(t["b"], h["x"])).alias("m"))))
+
+    def from_line(t: Column, start: Column) -> Column:
+        """Runs that start at the line of a hit; beyond a window with too many bigrams for the template none reaches the threshold."""
+        s, wide = start["h"], number(F.ceil(t["n"] * F.lit(2 * high)))
+        # transform(array(x)) keeps x computed once
+        over = F.array(distinct(F.slice("g", s["p"] + 1, wide)) > t["n"] * F.lit(high))
+        within = lambda o: F.when(o, F.filter(F.slice(t["m"], start["i"] + 1, wide), lambda h: h["p"] < s["p"] + wide)).otherwise(F.slice(t["m"], start["i"] + 1, F.size(t["m"])))
+        inside = F.transform(over, within)
+
+        def runs(i: Column) -> Column:
+            gains = F.transform(F.array_distinct(i["x"]), lambda x, k: F.struct((number(k) + 1).alias("same"), F.get(i, number(F.array_position(i["x"], x)) - 1).alias("h")))
+            return F.transform(
+                F.filter(gains, lambda e: e["same"] >= t["least"]),
+                lambda e: F.struct(
+                    (-2.0 * e["same"] / (t["n"] + distinct(F.slice("g", s["first"] + 1, e["h"]["last"] - s["first"])))).alias("d"),
+                    t["license"].alias("license"), s["a"].alias("a"), e["h"]["b"].alias("b"), t["k"].alias("k"),
+                ),
+            )
+
+        return F.filter(F.flatten(F.transform(inside, runs)), lambda r: r["d"] <= -threshold + 1e-12)
+
+    first_hit = lambda t, h, i: (i == 0) | (F.get(t["m"], i - 1)["a"] != h["a"])
+    starts = lambda t: F.array_compact(F.transform(t["m"], lambda h, i: F.when(first_hit(t, h, i), F.struct(h.alias("h"), number(i).alias("i")))))
+    every_run = F.flatten(F.transform("t", lambda t: F.flatten(F.transform(starts(t), lambda s: from_line(t, s)))))
+    step = _once(step, [*kept, "t"], "r", F.array_sort(every_run)).filter(F.exists("r", lambda r: r["a"] < r["b"]))
+    # best first; one line is a unit of its own and only keeps worse runs of its template away
+    meets = lambda o, r: (o["a"] <= r["b"]) & (r["a"] <= o["b"]) & ((o["a"] < o["b"]) | (o["k"] == r["k"]))
+    apart = F.aggregate("r", F.filter("r", lambda _: F.lit(False)), lambda got, r: F.when(F.exists(got, lambda o: meets(o, r)), got).otherwise(F.concat(got, F.array(r))))
+    step = _once(step, [*kept, "t"], "r", F.filter(apart, lambda r: r["a"] < r["b"])).select(*kept, "t", F.explode("r").alias("r"))
+    # left out where the paragraph or the document around it has a row by this template
+    before = F.coalesce(F.array_max(F.filter("blank", lambda i: i <= F.col("r.a"))), F.lit(-1))
+    after = F.coalesce(F.array_min(F.filter("blank", lambda i: i > F.col("r.a"))), F.lit(2**31 - 1))
+    step = _once(step, ["doc_id", "w", "g", "r"], "e", F.struct(F.filter("t", lambda t: t["k"] == F.col("r.k"))[0].alias("t"), before.alias("before"), after.alias("after")))
+    step = step.select("doc_id", "w", "g", "r", "e.t", "e.before", "e.after")
+    dice = lambda hits, grams, n: 2.0 * distinct(hits["x"]) / (n + distinct(grams))
+    n = F.col("t.n")
+    around = F.filter("g", lambda _, p: (at(p)["line"] > F.col("before")) & (at(p + 1)["line"] < F.col("after")))
+    paragraph = dice(F.filter("t.m", lambda h: (h["a"] > F.col("before")) & (h["b"] < F.col("after"))), around, n)
+    found = step.filter((F.col("r.b") > F.col("after")) | (paragraph < threshold - 1e-12)).filter(dice(F.col("t.m"), F.col("g"), n) < threshold - 1e-12)
+    return found.select("doc_id", F.lit("lines").alias("unit"), F.col("r.a").cast("long").alias("position"), "r.license", F.round(-F.col("r.d"), 6).alias("dice"))
+
+
 def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, unit, position, license, dice), one row per unit whose best template reaches the threshold.
 
-    ``unit`` is line, paragraph or document and ``position`` its number in the text, from 0; a text of one paragraph or
-    line gives no row for the larger unit. Ties go to the licence named first in the alphabet. Null and empty texts and
+    ``unit`` is line, paragraph, document or lines and ``position`` its number in the text, from 0 (of lines, the first line's);
+    a text of one paragraph or line gives no row for the larger unit. Lines are a run of two or more, across blank ones too:
+    of runs that overlap the best one, unless its paragraph or the document reaches the threshold by the same template. Ties go to the licence named first in the alphabet. Null and empty texts and
     units of less than two words give no row; repeated rows give theirs each; a null id stays null.
     """
     templates = TEMPLATES if templates is None else templates
@@ -114,22 +197,18 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
     units = F.concat(unit("line", lines), F.when(F.size(parts) > 1, unit("paragraph", parts)).otherwise(none), F.when(F.size(lines) > 1, unit("document", F.array("text"))).otherwise(none))
     cut = rough.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.unit", "u.position", F.col("u.t").alias("t"))
     cut = cut.filter(F.col("t").rlike(rf"(?iU)(?<![^\W_])(?:{telling})(?![^\W_])"))
-    # explode(array(x)) keeps x computed once: the optimiser would push the last filter down and copy every step into it
-    once = lambda df, keep, name, x: df.select(*keep, F.explode(F.array(x)).alias(name))
     unit_key = ["doc_id", "unit", "position"]
-    words = F.filter(F.split(F.regexp_replace(F.lower("t"), r"(?U)[^\w]+|_+", " "), " "), lambda w: w != "")
-    grams = once(once(cut, unit_key, "w", words), unit_key, "a", _bigrams(F.col("w")))
-    sized = [(name, bigrams_of(text)) for name, text in templates]
-    sizes = [len(b) for _, b in sized if b]
+    grams = _once(_once(cut, unit_key, "w", _words(F.col("t"))), unit_key, "a", _bigrams(F.col("w")))
+    sized = [(name, b) for name, text in templates if (b := bigrams_of(text))]
+    sizes = [len(b) for _, b in sized]
     low, high = threshold / (2 - threshold) - 1e-12, (2 - threshold) / threshold + 1e-12
     grams = grams.filter(F.size("a").between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
     dices = []
     for name, b in sized:
-        if not b:
-            continue
         fits = (F.size("a") >= low * len(b)) & (F.size("a") <= high * len(b))
         dice = 2.0 * F.size(F.array_intersect("a", F.array(*map(F.lit, b)))) / (F.size("a") + F.lit(len(b)))
         dices.append(F.when(fits, F.struct((-dice).alias("d"), F.lit(name).alias("license"))))
     best = F.array_min(F.array(*dices))  # nulls are left out
-    found = once(grams, unit_key, "best", best).filter(F.col("best.d") <= -threshold + 1e-12)
-    return found.select("doc_id", "unit", F.col("position").cast("long").alias("position"), "best.license", F.round(-F.col("best.d"), 6).alias("dice"))
+    found = _once(grams, unit_key, "best", best).filter(F.col("best.d") <= -threshold + 1e-12)
+    found = found.select("doc_id", "unit", F.col("position").cast("long").alias("position"), "best.license", F.round(-F.col("best.d"), 6).alias("dice"))
+    return found.unionAll(_runs(rough, sized, threshold))
