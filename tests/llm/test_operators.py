@@ -370,6 +370,16 @@ def test_secrets(spark):
     assert secrets.scan(frame.limit(0)).count() == 0 and secrets.redacted(frame).columns == frame.columns
 
 
+def test_long_secrets_are_whole(spark):
+    r = random.Random(18)
+    long = "".join(r.choice("0123456789abcdef") for _ in range(5000))
+    rows = [(1, f'some words private_key = "{long}" and on'), (2, "one token=04dbebab91ab85687d33eeaaf9ac699e=next word")]
+    found = {x.doc_id: x for x in secrets.scan(docs(spark, *rows)).collect()}
+    assert (found[1].start, found[1].length, found[1].value) == (rows[0][1].index(long) + 1, 5000, long) and found[1].is_secret
+    assert (found[2].start, found[2].value) == (11, "04dbebab91ab85687d33eeaaf9ac699e=")
+    assert {x.doc_id: x.text for x in secrets.redacted(docs(spark, *rows)).collect()}[1] == 'some words private_key = "[SECRET]" and on'
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     trees = secrets.train(spark)
     unseen = secrets.labelled_findings(600, seed=99)

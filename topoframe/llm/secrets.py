@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a candidate looks like, and words that matter in and around it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{16,4096}={0,2}|(?:AKIA|ASIA)[A-Z]{16}(?![A-Za-z0-9]))"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}|(?:AKIA|ASIA)[A-Z]{16}(?![A-Za-z0-9]))"
 KNOWN_FORMS = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|rk_live_|xox[abps]-|AIza|glpat-|npm_)"
 SECRET_WORDS = r"(?i)(?:secret|token|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[A-Za-z0-9_-]{0,16}\W{0,6}$"
 OTHER_WORDS = r"(?i)(?:sha-?\d*|md5|commit|checksum|digest|uuid|guid|revision|etag|integrity|version|sample|example|dummy|placeholder|order|card|account|isbn|phone|build|ref|trace|image|id)\W{0,6}$"
@@ -162,14 +162,12 @@ def findings_column(text: str, path: str, forest: list[object]) -> Column:
 
     A null text has none (an empty array).
     """
-    quoted = r"concat('(?<![A-Za-z0-9+/_-])', '\\Q', v, '\\E', '(?![A-Za-z0-9+/_-])')"
     pattern = CANDIDATE.replace("\\", "\\\\")
-    values = f"array_distinct(regexp_extract_all({text}, '{pattern}', 0))"
-    cuts = f"transform({values}, v -> struct(v as v, split({text}, {quoted}) as p))"
-    ctx = (
-        f"flatten(transform({cuts}, c -> transform(sequence(0, greatest(size(c.p) - 2, 0)), i -> struct(c.v as v, "
-        "length(array_join(slice(c.p, 1, i + 1), c.v)) + 1 as start, right(c.p[i], 60) as before, left(coalesce(get(c.p, i + 1), ''), 40) as after))))"
-    )
+    values = f"filter(array(regexp_extract_all({text}, '{pattern}', 0)), v -> size(v) > 0)"
+    # the pieces between the values, cut by the same pattern, give the places
+    cuts = f"transform({values}, v -> struct(v as v, split({text}, '{pattern}', -1) as p))"
+    places = f"flatten(transform({cuts}, c -> transform(c.v, (v, i) -> struct(v as v, length(array_join(slice(c.p, 1, i + 1), '')) + length(array_join(slice(c.v, 1, i), '')) + 1 as start))))"
+    ctx = f"transform({places}, o -> struct(o.v as v, o.start as start, substring({text}, greatest(o.start - 60, 1), least(60, o.start - 1)) as before, substring({text}, o.start + length(o.v), 40) as after))"
     feats = ", ".join(f"cast({sql} as double) as {name}" for name, sql in _feature_sql("o.v", "o.before", "o.after", path).items())
     made = f"transform({ctx}, o -> struct(o.v as v, o.start as start, o.before as before, o.after as after, {feats}))"
     score = "(" + " + ".join(_tree_sql(t, "f") for t in forest) + f") / {len(forest)}D"
