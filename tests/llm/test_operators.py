@@ -373,13 +373,24 @@ def test_secrets(spark):
 def test_long_secrets_are_whole(spark):
     r = random.Random(18)
     long = "".join(r.choice("0123456789abcdef") for _ in range(5000))
-    rows = [(1, f'some words private_key = "{long}" and on'), (2, "one token=04dbebab91ab85687d33eeaaf9ac699e=next word")]
+    rows = [(1, f'some words private_key = "{long}" and on'), (2, "one word 04dbebab91ab85687d33eeaaf9ac699e=next word")]
     found = {x.doc_id: x for x in secrets.scan(docs(spark, *rows)).collect()}
     assert (found[1].start, found[1].length, found[1].value) == (rows[0][1].index(long) + 1, 5000, long) and found[1].is_secret
-    assert (found[2].start, found[2].value) == (11, "04dbebab91ab85687d33eeaaf9ac699e=")
+    assert (found[2].start, found[2].value) == (10, "04dbebab91ab85687d33eeaaf9ac699e=")
     assert {x.doc_id: x.text for x in secrets.redacted(docs(spark, *rows)).collect()}[1] == 'some words private_key = "[SECRET]" and on'
 
 
+def test_secrets_named_by_their_context(spark):
+    true = {1: ("password=", "Zx81kq9w", " then"), 2: ('password = "', "Tr0ub4dor&3!pass", '" on'), 3: ("api_key=", "qWErTyUIopAsDfGhJkLz", " x"), 4: ("see postgres://me:", "s3cr3t!Pa55", "@db.example.com/x"), 5: ("alone ", "ghp_" + "aBcDeFgHiJkLmNoPqRsTuVwXyZabcdef", " it"), 7: ("password = \"", "kW4!x)", "\" q"), 6: ("auth_token: ", "qXvBnKsTzWpLmRhD" * 6 + "uY7", " z")}
+    false = {11: ("the secret: ", "nobody", " knows"), 12: ("password = ", "get_password(", ") in"), 13: ("token: ", "${TOKEN", "} x"), 14: ("passwd=", "********", " y")}
+    rows = {i: a + v + b for i, (a, v, b) in (true | false).items()}
+    found = {(x.doc_id, x.start, x.value): x.is_secret for x in secrets.scan(docs(spark, *rows.items())).collect()}
+    assert set(found) == {(i, len(a) + 1, v) for i, (a, v, _) in (true | false).items()}
+    assert [i for (i, _, _), yes in found.items() if not yes and i in true or yes and i in false] == []
+    clean = {x.doc_id: x.text for x in secrets.redacted(docs(spark, *rows.items())).collect()}
+    assert clean == {i: a + ("[SECRET]" if i in true else v) + b for i, (a, v, b) in (true | false).items()}
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     trees = secrets.train(spark)
     unseen = secrets.labelled_findings(600, seed=99)

@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives, in SQL expressions only.
 
-Candidates are long runs of key characters with a digit (and well-known key forms). Each occurrence gets features - length, character
+Candidates are long runs of key characters with a digit, well-known key forms, and whatever follows a secret word and = or :
+or is the password of a login in an address. Each occurrence gets features - length, character
 transitions, dictionary coverage, path, neighbouring words - and the share of trees that call it a secret. The
 forest is grown on the driver from labelled findings; its trees become CASE expressions, so scanning is one
 narrow projection: nothing is shuffled and no Python runs on the executors.
@@ -17,7 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a candidate looks like, and words that matter in and around it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}|(?:AKIA|ASIA)[A-Z]{16}(?![A-Za-z0-9]))"
+_RUN = r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+_FORMS = r"(?:AKIA|ASIA)[A-Z]{16}(?![A-Za-z0-9])|(?:ghp_|gho_|github_pat_|sk_live_|rk_live_|xox[abps]-|AIza|glpat-|npm_)[A-Za-z0-9_-]{16,}+"
+_NAMES = r"(?:secret|token|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)"
+#: A secret word with = or :, or a login in an address, and its value: a whole run, what quotes hold, or anything up to a space.
+_NAMED = rf"[A-Za-z0-9+/_-]{{0,40}}?(?i:{_NAMES})[A-Za-z0-9_-]{{0,16}}[\"']?[ \t]{{0,2}}[:=]{{1,2}}>?[ \t]{{0,2}}(?:(?i:bearer|basic)[ \t]{{1,2}})?[\"']?"
+_LOGIN = r"[A-Za-z][A-Za-z0-9+-]{1,20}://[^\s/:@\"']{1,64}:"
+_VALUE = rf"(?:(?:{_RUN}|{_FORMS})(?=[\s\"'.,;)\]}}<]|&[A-Za-z_]+=|\z)|(?<=\")[^\s\"]{{6,}}+(?=\")|(?<=')[^\s']{{6,}}+(?=')|[^\s\"'][^\s\"]{{4,}}[^\s\"'.,;:)\]}}])"
+CONTEXT = rf"(?:{_LOGIN}|{_NAMED})(?=\S{{6,}}\z)"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?:{_LOGIN}[^\s@\"]{{6,256}}(?=@)|{_NAMED}{_VALUE}|{_RUN}|{_FORMS})"
 KNOWN_FORMS = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|rk_live_|xox[abps]-|AIza|glpat-|npm_)"
 SECRET_WORDS = r"(?i)(?:secret|token|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[A-Za-z0-9_-]{0,16}\W{0,6}$"
 OTHER_WORDS = r"(?i)(?:sha-?\d*|md5|commit|checksum|digest|uuid|guid|revision|etag|integrity|version|sample|example|dummy|placeholder|order|card|account|isbn|phone|build|ref|trace|image|id)\W{0,6}$"
@@ -28,7 +37,8 @@ DICTIONARY = [
     "static", "string", "table", "template", "test", "text", "the", "token", "update", "user", "value", "version", "week", "windows", "with", "world", "your",
 ]
 TEST_PATHS = r"(?i)(?:^|[/_.-])(?:test|tests|example|examples|fixture|fixtures|docs|sample|samples)(?:[/_.-]|$)"
-FEATURES = ["f_len", "f_trans", "f_digit", "f_upper", "f_hex", "f_distinct", "f_dict", "f_slashes", "f_path", "f_secret_word", "f_other_word", "f_assigned", "f_quoted", "f_known"]
+FEATURES = ["f_len", "f_trans", "f_digit", "f_upper", "f_hex", "f_distinct", "f_dict", "f_slashes", "f_path", "f_secret_word", "f_other_word", "f_assigned", "f_quoted", "f_known", "f_login", "f_code", "f_symbols"]
+CODE = r"^[$<{%\[]|[a-z_]\(|\[[\"'a-z]|^(?:self|this|os|env|process|config|settings)[.]|^(.)\1+$|[a-z][.][a-z]"
 TREES, DEPTH, LEAST_LEAF = 21, 6, 4
 
 
@@ -52,6 +62,9 @@ def _feature_sql(v: str, before: str, after: str, path: str) -> dict[str, str]:
         "f_assigned": number(f"{before} rlike {q('[=:] {0,2}[\"' + chr(39) + ']?$')}"),
         "f_quoted": number(f"{before} rlike {q('[\"' + chr(39) + ']$')} and {after} rlike {q('^[\"' + chr(39) + ']')}"),
         "f_known": number(f"{v} rlike {q(KNOWN_FORMS)}"),
+        "f_login": number(f"{before} rlike {q('://[^ ]*:$')} and {after} rlike '^@'"),
+        "f_code": number(f"{v} rlike {q(CODE)}"),
+        "f_symbols": f"regexp_count({v}, '[^A-Za-z0-9]') / {n}",
     }
 
 
@@ -66,7 +79,16 @@ def labelled_findings(n: int = 1600, seed: int = 20) -> list[tuple[str, str, str
     assign = [' = "', "=", ": ", ' = ', '="', ": '", " : "]
 
     def secret() -> tuple[str, str, str]:
-        kind = r.randrange(6)
+        kind = r.randrange(9)
+        if kind == 6:  # short passwords, with symbols or without
+            how, value = r.choice([*assign, "=", ":"]), some(mixed + r.choice(["", "!&@#$%^*?"]), r.randint(6, 15)) + r.choice(string.digits)
+            return value, prose() + r.choice(names) + how, ('"' if '"' in how else "'" if "'" in how else "") + " " + word()
+        if kind == 7:  # letters only, or words with digits and symbols
+            how = r.choice(assign)
+            value = some(string.ascii_letters, r.choice([16, 20, 32])) if r.random() < 0.5 else word().title() + str(r.randint(10, 9999)) + r.choice("!&@#") + word()
+            return value, prose() + r.choice(names) + how, ('"' if '"' in how else "'" if "'" in how else "") + " " + word()
+        if kind == 8:
+            return some(mixed + "!&#$%", r.randint(6, 16)) + "3k", prose() + r.choice(["postgres", "mysql", "amqp", "https"]) + "://" + word() + ":", "@" + word() + ".example.com/" + word()
         if kind == 0:
             return r.choice(["AKIA", "ASIA"]) + some(upper, 16), prose(), " " + word()
         if kind == 1:
@@ -76,7 +98,11 @@ def labelled_findings(n: int = 1600, seed: int = 20) -> list[tuple[str, str, str
         return value + ("1" if value.isalpha() else ""), prose() + r.choice(names) + how, ('"' if '"' in how else "'" if "'" in how else "") + " " + word()
 
     def other() -> tuple[str, str, str]:
-        kind = r.randrange(10)
+        kind = r.randrange(13)
+        if kind >= 10:  # what stands after a secret word in prose and code
+            how, w = r.choice([*assign, ": "]), some("abcdefghilmnoprstu", r.randint(6, 12))
+            value = r.choice([w, w, w.title(), r.choice(DICTIONARY) + "_" + w, f"get_{w}()", f"self.{w}", f"os.environ[{w}]", "${" + w.upper() + "}", "<" + w + ">", "{{" + w + "}}", r.choice("*x.") * r.randint(6, 12), f"{w}-{r.choice(DICTIONARY)}", f"{w}.{word()}"])
+            return value, prose() + r.choice(names) + how, ('"' if '"' in how else "'" if "'" in how else "") + " " + word()
         if kind == 0:
             return some(hexa, r.choice([32, 40, 64])), prose() + r.choice(["commit ", "sha1 ", "md5: ", "checksum ", "sha256: ", "digest=", "etag: ", "revision "]), " " + word()
         if kind == 1:
@@ -162,11 +188,13 @@ def findings_column(text: str, path: str, forest: list[object]) -> Column:
 
     A null text has none (an empty array).
     """
-    pattern = CANDIDATE.replace("\\", "\\\\")
-    values = f"filter(array(regexp_extract_all({text}, '{pattern}', 0)), v -> size(v) > 0)"
-    # the pieces between the values, cut by the same pattern, give the places
-    cuts = f"transform({values}, v -> struct(v as v, split({text}, '{pattern}', -1) as p))"
-    places = f"flatten(transform({cuts}, c -> transform(c.v, (v, i) -> struct(v as v, length(array_join(slice(c.p, 1, i + 1), '')) + length(array_join(slice(c.v, 1, i), '')) + 1 as start))))"
+    lit = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pattern = lit(CANDIDATE)
+    found = f"filter(array(regexp_extract_all({text}, {pattern}, 0)), m -> size(m) > 0)"
+    # the pieces between the matches, cut by the same pattern, give the places; a match begins with its context, if any
+    cuts = f"transform({found}, m -> struct(m as m, transform(m, x -> regexp_replace(x, {lit('^' + CONTEXT)}, '')) as v, split({text}, {pattern}, -1) as p))"
+    start = "length(array_join(slice(c.p, 1, i + 1), '')) + length(array_join(slice(c.m, 1, i + 1), '')) - length(v) + 1"
+    places = f"flatten(transform({cuts}, c -> transform(c.v, (v, i) -> struct(v as v, {start} as start))))"
     ctx = f"transform({places}, o -> struct(o.v as v, o.start as start, substring({text}, greatest(o.start - 60, 1), least(60, o.start - 1)) as before, substring({text}, o.start + length(o.v), 40) as after))"
     feats = ", ".join(f"cast({sql} as double) as {name}" for name, sql in _feature_sql("o.v", "o.before", "o.after", path).items())
     made = f"transform({ctx}, o -> struct(o.v as v, o.start as start, o.before as before, o.after as after, {feats}))"
