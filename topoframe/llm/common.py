@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset in local mode. On a cluster it must be set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="topoframe-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
@@ -46,11 +51,19 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/topoframe-{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Have a scratch folder removed when the driver's JVM ends: results read from it later still find it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).deleteOnExit(folder)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder, so that a lost executor costs no recomputation from the start."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    discard(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +73,46 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and so many bytes of text (a longer text is a slice of its own)."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before, at = np.concatenate([[0], np.cumsum(size)]), 0
+        while at < batch.num_rows:
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(before, before[at] + most, "right")) - 1))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def numbered_words(texts: pa.Array, odd: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, pa.Array]:
+    """Texts split at single spaces: (rows that match ``odd``, which have no words here; distinct words; number of the word at each place; offsets of the rows; all words)."""
+    skip = pc.fill_null(pc.match_substring_regex(texts, odd), False).to_numpy(zero_copy_only=False)
+    where = np.flatnonzero(skip)
+    split = pc.split_pattern(texts.take(pa.array(np.arange(len(texts)), mask=skip)) if len(where) else texts, " ")
+    words, count = split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    stops = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+    if not len(words):
+        return where, [], np.empty(0, np.int64), stops, words
+    numbered = words.dictionary_encode()
+    return where, numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64), stops, words
+
+
+def with_rows(code: np.ndarray, stops: np.ndarray, where: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """One entry more, numbered from ``first``, for each of the rows ``where``."""
+    added = np.zeros(len(stops), np.int64)
+    added[where + 1] = 1
+    return np.insert(code, stops[where], first + np.arange(len(where))), stops + np.cumsum(added)
+
+
+def laid_out(entries: list[bytes], code: np.ndarray, stops: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The entries in the order of code, one after the other, and the offset of each row's first byte."""
+    if not len(code):
+        return memoryview(b""), np.zeros(len(stops), np.int64)
+    joined = pa.array(entries, pa.large_binary()).take(pa.array(code))
+    _, ends, data = joined.buffers()
+    return memoryview(data), np.frombuffer(ends, np.int64)[: len(code) + 1][stops]
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Groups of adjacent equal keys of a sorted partition, one in memory at a time."""
     held: list[pa.RecordBatch] = []
@@ -106,6 +159,20 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def many(self, keys: list) -> list:
+        """The values of many keys."""
+        out, make, longest = [*map(self.get, keys)], self.make, self.longest
+        for i, x in enumerate(out):
+            if x is None:
+                key = keys[i]
+                out[i] = value = self.old.get(key) or make(key)
+                if len(key) <= longest:
+                    self[key] = value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        return out
+
     def __reduce__(self):
         raise TypeError("a memo stays in its worker")
 

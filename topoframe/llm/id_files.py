@@ -8,8 +8,10 @@ chunk index (file offset of each plane, ids in the chunk); a footer of fixed siz
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,18 +20,18 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch, slices, written
-from .word_ids import word_ids
+from .common import discard, prepare, scratch, slices, text_slices, written
+from .word_ids import vocabulary_size, word_ids
 
 MAGIC = b"TFIDPLN1"
 #: ids in a chunk; a multiple of 8, so that bit planes are whole bytes but in the last chunk.
 CHUNK_IDS = 1 << 16
 FOOTER = struct.Struct("<QQQQQQ")  # documents at, documents, chunk index at, chunks, ids, planes
-#: Text bytes in a file, roughly.
-FILE_BYTES = 64 << 20
+#: Text in a file, roughly, in the unit of the size column; files grow beyond it where there would be more than MOST_FILES.
+FILE_BYTES, MOST_FILES = 64 << 20, 20_000
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -54,7 +56,7 @@ class Writer:
         self.out, self.bits, self.zip = out, bits, zstandard.ZstdCompressor(level=level)
         self.held, self.n_held, self.at, self.total = [], 0, 0, 0
         self.index: list[list[int]] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.docs = (array("q"), array("q"), array("q"))  # id, whether it is null, number of ids
         self._put(MAGIC + bytes([bits]))
 
     def _put(self, data: bytes) -> None:
@@ -62,7 +64,8 @@ class Writer:
         self.at += len(data)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(ids) // 4))
+        for column, x in zip(self.docs, (doc_id or 0, doc_id is None, len(ids) // 4), strict=True):
+            column.append(x)
         self.held.append(ids)
         self.n_held += len(ids) // 4
         if self.n_held >= CHUNK_IDS:
@@ -84,11 +87,10 @@ class Writer:
         if self.n_held:
             self._chunk(np.frombuffer(b"".join(self.held), "<u4"))
         docs_at = self.at
-        table = np.array(self.docs, dtype="<i8").reshape(-1, 3).T
-        self._put(self.zip.compress(np.ascontiguousarray(table).tobytes()))
+        self._put(self.zip.compress(b"".join(column.tobytes() for column in self.docs)))
         index_at = self.at
         self._put(self.zip.compress(np.array(self.index, dtype="<i8").tobytes()))
-        self._put(FOOTER.pack(docs_at, len(self.docs), index_at, len(self.index), self.total, 32 if self.bits else 4))
+        self._put(FOOTER.pack(docs_at, len(self.docs[0]), index_at, len(self.index), self.total, 32 if self.bits else 4))
         return self.total
 
 
@@ -131,24 +133,52 @@ class Reader:
             used += 4 * n
 
 
-def _write(path: str, end_id: int, folder: str, bits: bool):
-    tail = struct.pack("<I", end_id)
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI as Spark writes it, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
+def _encode(path: str, end_id: int, bounds: np.ndarray, null_files: int, keys: np.ndarray, width: int):
+    """(key, file, doc_id, n, crc, ids): the file of each document, and a key that hash partitioning sends to the partition of that number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, writer, task = word_ids(path).ids, None, TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder)
+        encoder = word_ids(path)
+        for part in text_slices(batches, 1):
+            ids, at = encoder.columns(part.column(1), end_id)
+            data = ids.view("u1").data
+            crc = np.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
+            doc, null = part.column(0).fill_null(0).to_numpy(), part.column(0).is_null().to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
+            file = np.where(null, crc % max(null_files, 1), null_files + low + crc % (high - low + 1))  # an id at a bound may lie on either side
+            small = pa.py_buffer(ids.astype(f"<u{width}"))
+            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(at * width), small]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[file]), pa.array(file.astype(np.int32)), part.column(0), pa.array(np.diff(at)), pa.array(crc), binary], ["key", "file", "doc_id", "n", "crc", "ids"])
+
+    return run
+
+
+def _write(folder: str, bits: bool, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, (store, root) = TaskContext.get(), _store(folder)
+        writer = out = current = name = None
+
+        def finished() -> pa.RecordBatch:
+            total = writer.close()
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([total], pa.int64()), pa.array([len(writer.docs[0])], pa.int64())], ["part", "path", "n_ids", "n_docs"])
+
         for part in slices(batches):
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if writer is None:
-                    name = f"{task.partitionId():06d}-{task.taskAttemptId()}.ids"  # an attempt never touches another's file
+            for file, doc, ids in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("file", "doc_id", "ids")), strict=True):
+                if file != current:
+                    if writer is not None:
+                        yield finished()
+                    current, name = file, f"{file:06d}-{task.taskAttemptId()}.ids"  # an attempt never touches another's file
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}")
                     writer = Writer(out, bits)
-                writer.add(doc, ids_of(text) + tail)
+                writer.add(doc, ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes())
         if writer is not None:
-            total = writer.close()
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([total], pa.int64()), pa.array([len(writer.docs)], pa.int64())], ["part", "path", "n_ids", "n_docs"])
+            yield finished()
 
     return run
 
@@ -156,7 +186,7 @@ def _write(path: str, end_id: int, folder: str, bits: bool):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            store, name = fs.FileSystem.from_uri(path)
+            store, name = _store(path)
             with store.open_input_file(name) as source:
                 out: list[tuple] = []
                 for doc, ids in Reader(source).documents():
@@ -173,27 +203,58 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _layout(base: DataFrame, size: Column) -> tuple[int, np.ndarray, int]:
+    """(files for null ids, bounds of the ids in the other files, files), from two scans of the id and size columns."""
+    seen = base.select("doc_id", size.alias("size")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    files = min(MOST_FILES, max(1, -(-(seen["size"] or 0) // FILE_BYTES)))
+    null_files = -(-files * (seen.n - seen.known) // max(seen.n, 1))
+    cuts = max(1, files - null_files) - 1
+    bounds: list[int] = []
+    if cuts and seen.known:
+        at = F.array(*(F.lit((k + 1) / (cuts + 1)) for k in range(cuts)))
+        bounds = base.agg(F.percentile_approx("doc_id", at, max(10_000, 10 * cuts)).alias("b")).first().b
+    return null_files, np.array(sorted(bounds), np.int64), null_files + len(bounds) + 1
+
+
+def _keys(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions an integer that hash partitioning sends there."""
+    tried = spark.range(40 * n + 40).select(F.col("id").cast("int").alias("k")).withColumn("p", F.pmod(F.hash("k"), F.lit(n)))
+    found = {r.p: r.k for r in tried.groupBy("p").agg(F.min("k").alias("k")).collect()}
+    return np.array([found[p] for p in range(n)], np.int32)
+
+
+def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, bits: bool = False, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
     """Write ids in ascending doc_id order (null ids first); the manifest (part, path, n_ids, n_docs, start) is returned.
 
-    ``folder`` is a URI that every executor sees. Null and empty texts are their end id alone; repeated ids stay as rows.
-    The manifest names only files of successful attempts, so a lost executor or a retried task leaves no wrong file in it.
+    Texts are scanned once: ids of two bytes, where the vocabulary allows, go to the file of their range of doc_ids. The ranges come
+    from quantiles of the id column and the sum of ``size_col`` (of text lengths, if it isn't given). Rows with equal ids may lie in
+    several files, in the order of their content, and so do null ids, so no id makes a file of its own size.
+
+    ``folder`` is a URI that every executor sees. Null and empty texts are their end id alone; repeated rows stay as rows; an empty
+    table gives an empty manifest. Other columns are not read. The manifest names only files of successful attempts, so a lost
+    executor or a retried task leaves no wrong file in it.
     """
-    prepare(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    volume = base.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).first().b or 0
-    ordered = base.repartitionByRange(max(1, -(-volume // FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id")
-    files = written(ordered.mapInArrow(_write(path, end_id, folder, bits), "part int, path string, n_ids long, n_docs long"), "manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    spark = prepare(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(size_col) if size_col else F.octet_length(text_col)).cast("long").alias("size"))
+    null_files, bounds, files = _layout(base, F.coalesce("size", F.lit(0)))
+    width = 2 if max(end_id, vocabulary_size(path) - 1) < 1 << 16 else 4
+    encoded = base.select("doc_id", "text").mapInArrow(_encode(path, end_id, bounds, null_files, _keys(spark, files), width), "key int, file int, doc_id long, n long, crc long, ids binary")
+    ordered = encoded.repartition(files, "key").sortWithinPartitions("file", "doc_id", "n", "crc", "ids")
+    manifest = written(ordered.mapInArrow(_write(folder, bits, width), "part int, path string, n_ids long, n_docs long"), "manifest")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file, MOST_FILES at most
+    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
     n = max(1, manifest.count())
-    return manifest.select("path", "start").repartition(n, "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start", "part").repartitionByRange(n, "part").select("path", "start").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, path: str, end_id: int = 1, bits: bool = False) -> DataFrame:
-    """Write the files into the shared folder and read them back."""
-    return read(write(docs, path, scratch(docs.sparkSession, "ids"), end_id, bits))
+def round_trip(docs: DataFrame, path: str, end_id: int = 1, bits: bool = False, size_col: str | None = None) -> DataFrame:
+    """Write the files into the shared folder, which removes them when the session ends, and read them back."""
+    spark = docs.sparkSession
+    folder = scratch(spark, "ids")
+    manifest = write(docs, path, folder, end_id, bits, size_col=size_col)
+    discard(spark, folder)
+    return read(manifest)

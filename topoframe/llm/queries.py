@@ -48,7 +48,7 @@ def op9_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return id_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return id_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size_col="n_chars")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

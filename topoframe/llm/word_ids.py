@@ -9,17 +9,25 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from array import array
 
-from .common import Memo
+import numpy as np
+import pyarrow as pa
+
+from .common import Memo, laid_out, numbered_words, with_rows
 
 #: The characters that the vocabularies' patterns call white space.
-SPACES = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]")
 _HAS_SPACE = re.compile(f"[{SPACES}]")
 
-_CLOSING = ".,;:!?"
+#: Letters up to the Latin extensions; words of these, digits and ASCII marks are cut here as the vocabularies' patterns cut them.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_PLAIN = re.compile(f"[!-~{_LETTERS}]+(?:\n[!-~{_LETTERS}]+)*")
+_UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+|\n| ?[^ \n{_LETTERS}0-9]+")
+_LOWER_UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^ \n{_LETTERS}0-9]+")
+#: Texts that aren't plain runs of words between single spaces.
+_ODD = rf"<\|| [ {SPACES}]|[{SPACES}] |^ | $|^$"
 #: Words that a worker remembers, some 200 bytes each.
 WORD_ENTRIES = 900_000
 
@@ -46,31 +54,41 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # the word-end vocabulary normalises and drops white space
         self.words = Memo(self._word, WORD_ENTRIES)
-        self.chunks = Memo(self._whole, 200_000)
+        self.chunks = Memo(self._chunk, 200_000)
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        """A word with the space before it. Letters alone are one unit of the pattern and go to the model at once; closing punctuation is the next unit."""
-        if word.isalpha():
-            return self._letters(word)
-        stem = word.rstrip(_CLOSING)
-        if stem.isalpha() and len(stem) < len(word) and (not self.lower or stem.lower().isalpha()):
-            return self.words[stem] + self.chunks[word[len(stem) :]]
+        """A word with the space before it."""
+        if word.isascii() and word.isalpha():  # most words, without a look at the patterns
+            return _packed([t.id for t in self.model.tokenize(word.lower() if self.lower else "\u0120" + word)])
         text = word if self.lower else " " + word
+        if _PLAIN.fullmatch(word):
+            return self._plain(text)
         return self._pieces(text) if _HAS_SPACE.search(word) else self._whole(text)
 
-    def _letters(self, word: str) -> bytes:
+    def _chunk(self, text: str) -> bytes:
+        return self._plain(text) if _PLAIN.fullmatch(text, text.startswith(" ")) else self._whole(text)
+
+    def _plain(self, text: str) -> bytes:
+        """Units of the pattern go to the library's model one by one, as its byte-level alphabet writes them; letters after a space are remembered as words."""
         if self.lower:
-            plain = "".join([c.lower() for c in word])
-            if not (plain.isalpha() and unicodedata.is_normalized("NFC", word)):
-                return self._whole(word)
-        else:
-            plain = " " + word
-        return _packed([t.id for t in self.tokenizer.model.tokenize(plain.encode("utf-8").decode("latin-1").translate(_BYTE_MARKS))])
+            if "\u0130" in text:  # the one letter here that lower case makes two of
+                return self._whole(text)
+            text = text.lower()
+        units = (_LOWER_UNITS if self.lower else _UNITS).findall(text)
+        if len(units) != 1:
+            words, chunks = self.words, self.chunks
+            if self.lower:
+                return b"".join([words[u] if u.isalpha() else chunks[u] for u in units])
+            return b"".join([words[u[1:]] if u[0] == " " and u[1:].isalpha() else chunks[u] for u in units])
+        unit = units[0]
+        unit = unit.replace(" ", "\u0120").replace("\n", "\u010a") if unit.isascii() else unit.encode("utf-8").decode("latin-1").translate(_BYTE_MARKS)
+        return _packed([t.id for t in self.model.tokenize(unit)])
 
     def _pieces(self, text: str) -> bytes:
         table = self.chunks
@@ -96,6 +114,32 @@ class WordIds:
         table = self.words
         return b"".join([table[w] for w in words])
 
+    def columns(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, offsets of each text): as ids(), each text followed by end_id if given.
+
+        Words are split and numbered by Arrow, so a word costs one lookup in a column, however often it occurs there.
+        """
+        where, names, code, stops, flat = numbered_words(texts, _ODD)
+        if self.lower:
+            names = [w.lower() if w.isascii() or _PLAIN.fullmatch(w) and "\u0130" not in w else w for w in names]
+        known = self.words.many(names)
+        if not self.lower:  # a text's first word has no space before it
+            first = np.unique(stops[:-1][stops[:-1] < stops[1:]])
+            code[first] = len(known) + np.arange(len(first))
+            known += [self._first(w) for w in flat.take(pa.array(first)).to_pylist()] if len(first) else []
+        if len(where):
+            code, stops = with_rows(code, stops, where, len(known))
+            known += [self.ids(t) for t in texts.take(pa.array(where)).to_pylist()]
+        if end_id is not None:
+            code = np.insert(code, stops[1:], len(known))
+            known.append(_packed([end_id]))
+            stops = stops + np.arange(len(stops))
+        data, at = laid_out(known, code, stops)
+        return np.frombuffer(data, "<u4"), at // 4
+
+    def _first(self, word: str) -> bytes:
+        return self._pieces(word) if _HAS_SPACE.search(word) else self.chunks[word]
+
 
 _loaded: dict[str, WordIds] = {}
 
@@ -105,3 +149,7 @@ def word_ids(path: str) -> WordIds:
     if path not in _loaded:
         _loaded[path] = WordIds(path)
     return _loaded[path]
+
+
+def vocabulary_size(path: str) -> int:
+    return word_ids(path).tokenizer.get_vocab_size()
