@@ -8,7 +8,6 @@ whatever the corpus. Pieces then take the planned slots by joining on their rank
 from __future__ import annotations
 
 import bisect
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, written
+from .common import prepare, text_slices, written
 from .word_ids import word_ids
 
 #: Pieces of one length that are ranked in one task at most (on average).
@@ -78,16 +77,13 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, end_id: int, size: int):
-    tail = struct.pack("<I", end_id)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(path).ids
-        for part in slices(batches):
-            out: list[tuple] = []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = ids_of(text) + tail
-                view = memoryview(ids)
-                out += [(doc, k, s, n, zlib.crc32(view[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
+        encoder = word_ids(path)
+        for part in text_slices(batches, 1):
+            ids, at = encoder.columns(part.column(1), end_id)
+            data, out = ids.view("u1").data, []
+            for doc, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out += [(doc, k, s, n, zlib.crc32(data[4 * (a + s) : 4 * (a + s + n)])) for k, (s, n) in enumerate(cut(b - a, size))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
@@ -98,7 +94,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col:
 
     A null or empty text is its end id alone. Only documents longer than a sequence are cut. Every row is packed, rows with
     a null id and repeated rows too. An empty table gives no rows. Sequence ids are numbered from 0; pieces of a
-    sequence lie without gaps from offset 0.
+    sequence lie without gaps from offset 0. Rows that share an id take places in the order of their content, so a task that runs
+    again after a lost executor ranks them as before. Other columns are not read.
     """
     spark = prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -106,10 +103,10 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     lanes = spark.createDataFrame([(n, max(1, -(-c // RANKED))) for n, c in counts.items()], "length long, lanes long")
     rows = pieces.join(F.broadcast(lanes), "length")
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("lanes"))).drop("lanes")
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("lanes"))).drop("lanes")
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("length", "lane").agg(F.count("*").alias("c")).select("length", "lane", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "lane").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "lane").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = rows.withColumn("r", F.row_number().over(inside) - 1).join(starts, ["length", "lane"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("r") + F.col("base")).alias("rank"))
     slots = spark.createDataFrame(plan(counts, size), "length long, from_rank long, n long, seq long, offset long")
