@@ -15,11 +15,12 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, prepare, slices
+from .common import Memo, laid_out, numbered_words, prepare, slices, text_slices, with_rows
 
 #: Fixed values of the model file format: piece types, and the space mark.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -88,7 +89,12 @@ class PieceBpe:
                 self.id_of[p], self.history[p] = i, h
                 self.auto.add_word(p, len(p))
         self.auto.make_automaton()
-        self._fits: dict[tuple[str, str], bool] = {}
+        starts = lambda p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id_of or k == 1), "")
+        self.shorter = {p: starts(p) for p in self.id_of}  # the next shorter piece that a piece starts with; one character always can stand
+        self.number = [f"{i}," for i in range(len(self.pieces))]
+        self.plain = [p.replace(MARK, " ") if t == NORMAL else None for p, t in zip(self.pieces, self.types, strict=True)]
+        self._fits: dict[str, dict[str, bool]] = {}
+        self._n_fits = 0
         self.words = Memo(self._word)
 
     def _history(self, piece: str) -> tuple[list[int], list[str], list[str]] | None:
@@ -107,9 +113,6 @@ class PieceBpe:
 
     def fits(self, a: str, b: str) -> bool:
         """Merge both again side by side, best rank first and leftmost on ties: does no merge cross the border?"""
-        known = self._fits.get((a, b))
-        if known is not None:
-            return known
         left, right = self.history.get(a) or ([], [a], [a]), self.history.get(b) or ([], [b], [b])
         (ra, _, lasts), (rb, firsts, _) = left, right
         na, nb, i, j, rank, ok = len(ra), len(rb), 0, 0, self.rank, True
@@ -125,9 +128,11 @@ class PieceBpe:
                 j += 1
             else:
                 break
-        if len(self._fits) > 400_000:
+        if self._n_fits > 600_000:
             self._fits.clear()
-        self._fits[a, b] = ok
+            self._n_fits = 0
+        self._n_fits += 1
+        self._fits.setdefault(a, {})[b] = ok
         return ok
 
     def segment(self, s: str) -> list[str]:
@@ -135,37 +140,33 @@ class PieceBpe:
         n = len(s)
         if s in self.id_of:
             return [s]
-        at: list[list[int]] = [[1] for _ in range(n)]  # lengths that start here, ascending; one character always can
-        for end, length in self.auto.iter(s):
-            if length > 1:
-                at[end - length + 1].append(length)
-        for x in at:
-            if len(x) > 2:
-                x.sort()
+        longest = [1] * n
+        for end, length in self.auto.iter(s):  # ends ascend, so the longest match from a place is the last one seen
+            longest[end - length + 1] = length
         dead = bytearray(n + 1)
         out: list[str] = []
-        tried: list[int] = []  # index into at[pos] of the piece taken there
-        pos, k, fits = 0, len(at[0]) - 1 if n else 0, self.fits
+        pos, piece, shorter, seen, none = 0, s[: longest[0]] if n else "", self.shorter, self._fits, {}
         while pos < n:
-            lengths = at[pos]
-            while k >= 0:
-                stop = pos + lengths[k]
+            while piece:
+                stop = pos + len(piece)
                 if not dead[stop]:
-                    piece = s[pos:stop]
-                    if not out or fits(out[-1], piece):
+                    if not out:
                         break
-                k -= 1
-            if k >= 0:
+                    ok = seen.get(out[-1], none).get(piece)
+                    if ok or ok is None and self.fits(out[-1], piece):
+                        break
+                piece = shorter.get(piece, "")
+            if piece:
                 out.append(piece)
-                tried.append(k)
                 pos = stop
-                k = len(at[pos]) - 1 if pos < n else 0
+                piece = s[pos : pos + longest[pos]] if pos < n else ""
             else:
                 dead[pos] = 1
                 if not out:
                     raise AssertionError("no segmentation")
-                pos -= len(out.pop())
-                k = tried.pop() - 1
+                last = out.pop()
+                pos -= len(last)
+                piece = shorter.get(last, "")
         return out
 
     def ids(self, pieces: list[str]) -> list[int]:
@@ -180,9 +181,15 @@ class PieceBpe:
                 out.append(self.unk)
         return out
 
-    def _word(self, word: str) -> tuple[str, str]:
-        ids = self.ids(self.segment(MARK + word))
-        return ",".join(map(str, ids)), self.raw_decode(ids)
+    def _word(self, word: str) -> tuple[int, str, str]:
+        """Of a word with a space before it: number of ids, the ids, each with a comma behind it, and what they decode to."""
+        pieces = self.segment(MARK + word)
+        try:
+            ids = [self.id_of[p] for p in pieces]
+            return len(ids), "".join([self.number[i] for i in ids]), "".join([self.plain[i] for i in ids])
+        except KeyError:
+            ids = self.ids(pieces)
+            return len(ids), "".join([self.number[i] for i in ids]), self.raw_decode(ids)
 
     def encode(self, text: str) -> list[int]:
         if not text:
@@ -220,16 +227,26 @@ class PieceBpe:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, decimal ids joined by commas, decoded text)."""
-        if not text:
-            return 0, "", ""
-        words = text.split(" ")
-        if not (self.by_word and self.dummy_prefix) or MARK in text or "" in words:
-            ids = self.encode(text)
-            return len(ids), ",".join(map(str, ids)), self.decode(ids)
-        table = self.words
-        got = [table[w] for w in words]
-        joined = ",".join([g[0] for g in got])
-        return joined.count(",") + 1, joined, "".join([g[1] for g in got])[1:]
+        ids = self.encode(text or "")
+        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+
+    def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """Of every text the number of ids and the sha256 of both texts of digest(); a word costs one lookup in a column, however often it occurs there."""
+        if not (self.by_word and self.dummy_prefix):
+            where, names, code, stops = np.arange(len(texts)), [], np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        else:
+            where, names, code, stops, _ = numbered_words(texts, f"{MARK}|  |^ | $|^$")
+        known = self.words.many(names)
+        size, joined, decoded = [k[0] for k in known], [k[1].encode() for k in known], [k[2].encode("utf-8", "surrogatepass") for k in known]
+        if len(where):
+            code, stops = with_rows(code, stops, where, len(known))
+            for n, a, b in map(self.digest, texts.take(pa.array(where)).to_pylist()):
+                size.append(n)
+                joined.append(f"{a},".encode() if a else b"")
+                decoded.append(f" {b}".encode("utf-8", "surrogatepass"))
+        counts = np.concatenate([[0], np.cumsum(np.array(size, np.int64)[code])])[stops]
+        sha = lambda data, at, head, tail: [hashlib.sha256(data[min(a + head, b) : max(a, b - tail)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return np.diff(counts).tolist(), sha(*laid_out(joined, code, stops), 0, 1), sha(*laid_out(decoded, code, stops), 1, 0)
 
 
 def _replace_each(error: UnicodeDecodeError):
@@ -254,10 +271,9 @@ def model(path: str) -> PieceBpe:
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for part in slices(batches):
-            got = [bpe.digest(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([sha(g[1]) for g in got]), pa.array([sha(g[2]) for g in got])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in text_slices(batches, 1):
+            n, ids, decoded = bpe.digests(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
