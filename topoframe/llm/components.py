@@ -17,6 +17,12 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest v of each u. Grouped by the id's text, so that the join by u which follows has an exchange of its own on
+    either side, and adaptive execution may split the rows of a hot u."""
+    return edges.groupBy(F.col("u").cast("string").alias("key")).agg(F.first("u").alias("u"), F.min("v").alias("m")).drop("key")
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge to another; null ends and self-loops are ignored.
 
@@ -29,9 +35,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         if not before[0]:
             break
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = _least(both).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = _least(large)
         moved = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = written(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _print(cur)

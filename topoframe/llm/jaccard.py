@@ -104,43 +104,29 @@ def _sets(width: int):
     return run
 
 
-class _Sets:
-    """Union-find over the documents of a block pair."""
-
-    def __init__(self, n: int):
-        self.up, self.left = list(range(n)), n
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        self.left -= 1
-        return True
-
-
 def divide_skip(sets: list[np.ndarray], percent: int, queries: list[int], indexed: list[int]) -> Iterator[tuple[int, int]]:
-    """Links (spanning, not all) between the query documents and the indexed ones; both are positions in ``sets``."""
-    forest = _Sets(len(sets))
+    """Links (spanning, not all) between the query documents and the indexed ones; both are positions in ``sets``.
+
+    A query's short lists, without the documents that are connected to it already, are merged by a heap; documents that occur often
+    enough in them are looked for in its long lists by binary search.
+    """
+    label = np.arange(len(sets))  # connected documents share the least one's number
+    members = {i: [i] for i in range(len(sets))}
     indexed = sorted(indexed)
     at = {d: i for i, d in enumerate(indexed)}
+    docs = np.array(indexed)
     keys, lists = np.unique(np.concatenate([sets[d] for d in indexed]), return_inverse=True)
     owner = np.repeat(np.arange(len(indexed)), [len(sets[d]) for d in indexed])
     order = np.argsort(lists, kind="stable")
     postings = owner[order]
+    places = lists[order] * len(indexed) + postings  # ascending: list by list, document by document
     sizes = np.bincount(lists, minlength=len(keys))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     ends = np.cumsum([len(sets[d]) for d in indexed])
     own = [lists[e - len(sets[d]) : e] for d, e in zip(indexed, ends, strict=True)]
     n_of = np.array([len(sets[d]) for d in indexed])
     for q in queries:
-        if forest.left == 1:
+        if len(members) == 1:
             return
         n = len(sets[q])
         if q in at:
@@ -157,25 +143,30 @@ def divide_skip(sets: list[np.ndarray], percent: int, queries: list[int], indexe
         n_long = max(0, min(t - 1, int(t / (0.02 * math.log2(longest + 1) + 1))))
         n_long = min(n_long, len(mine) - 1)
         short, long = by_length[: len(mine) - n_long], np.sort(by_length[len(mine) - n_long :])
-        total = int(sizes[short].sum())
-        counts: dict[int, int] = {}
-        if total <= len(short) + 0 and q in at:
+        if int(sizes[short].sum()) == len(short) and q in at:
             continue  # every short list holds the query alone
-        if total <= 4096:
-            for d in heapq.merge(*(postings[starts[x] : starts[x + 1]].tolist() for x in short)):
-                counts[d] = counts.get(d, 0) + 1
-        else:
-            merged = np.bincount(np.concatenate([postings[starts[x] : starts[x + 1]] for x in short]), minlength=len(indexed))
-            counts = {int(d): int(merged[d]) for d in np.flatnonzero(merged)}
+        merge = []
+        for x in short:
+            new = postings[starts[x] : starts[x + 1]]
+            new = new[label[docs[new]] != label[q]]
+            if len(new):
+                merge.append(new.tolist())
+        counts: dict[int, int] = {}
+        for d in heapq.merge(*merge) if len(merge) > 1 else merge[0] if merge else ():
+            counts[d] = counts.get(d, 0) + 1
         for d, seen in counts.items():
-            m = int(n_of[d])
-            other = indexed[d]
-            if other == q or seen < t - n_long or 100 * min(n, m) < percent * max(n, m) or forest.find(q) == forest.find(other):
+            m, other = int(n_of[d]), indexed[d]
+            if seen < t - n_long or 100 * min(n, m) < percent * max(n, m) or label[q] == label[other]:
                 continue
-            probe = np.searchsorted(own[d], long)
-            probe[probe == m] = 0
-            both = seen + int((own[d][probe] == long).sum())
-            if 100 * both >= percent * (n + m - both) and forest.join(q, other):
+            wanted = long * len(indexed) + d
+            probe = np.searchsorted(places, wanted)
+            probe[probe == len(places)] = 0
+            both = seen + int((places[probe] == wanted).sum())
+            if 100 * both >= percent * (n + m - both):
+                a, b = sorted((int(label[q]), int(label[other])))
+                moved = members.pop(b)
+                members[a] += moved
+                label[moved] = a
                 yield q, other
 
 
@@ -211,8 +202,9 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "n", "sign"), ["doc_id", "n", "sign"], "left_semi").dropDuplicates(["doc_id", "n", "sign"])
 
     entry = reps.select("doc_id", "least", F.explode("pre").alias("h"))
-    by_list, by_doc = Window.partitionBy("h"), Window.partitionBy("doc_id")
-    shared = entry.withColumn("df", F.count("*").over(by_list)).filter("df > 1")
+    by_doc = Window.partitionBy("doc_id")
+    common = entry.groupBy(F.col("h").alias("k")).agg(F.count("*").alias("df")).filter("df > 1")  # counts meet, never the rows of a list
+    shared = entry.join(common.select(F.expr("k + 0L").alias("h"), "df"), "h")
     ranked = shared.withColumns({"met": F.count("*").over(by_doc), "longest": F.row_number().over(by_doc.orderBy(F.desc("df"), "h"))})
     short = written(ranked.filter("met >= least and longest >= least").select("doc_id", "h"), "lists")
     heads = short.groupBy("h").agg(F.min("doc_id").alias("dst"), F.count("*").alias("c")).filter("c > 1").drop("c")
