@@ -1,8 +1,9 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
-A logistic regression over the presence of words and word beginnings is fitted on a bounded sample of labelled documents. In
-every sampled text that mentions an identity group, the term is swapped for other groups' terms and the squared change of
-the score's logit is added to the loss, so neutral mentions of a group do not raise a score.
+A logistic regression over the presence of words and word beginnings is fitted on a bounded sample of labelled documents. Sentences
+that mention an identity group get the term swapped for other groups' terms, and sampled sentences of either label that mention
+none get a term put in and swapped, and taken out again; the squared change of the score's logit is added to the loss, so neutral
+mentions of a group do not raise a score. The penalty is there whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Memo, crc_fold, prepare, slices
+from .common import Memo, crc_fold, prepare, slices, written
+from .jaccard import shingle_set
 
 #: Terms of one kind of group that can stand for each other in a sentence.
 IDENTITY_TERMS = [
@@ -29,15 +33,15 @@ IDENTITY_TERMS = [
     ["immigrant", "refugee", "foreigner", "local"], ["deaf", "blind", "disabled", "autistic"], ["old", "young", "elderly"],
 ]
 #: Documented bounds of the training sample, and of the model.
-MOST_TOXIC, MOST_CLEAN, MOST_FEATURES, SWAPS = 3000, 6000, 6000, 3
+MOST_TOXIC, MOST_CLEAN, MOST_FEATURES, SWAPS, INSERTED, PER_FAMILY = 3000, 6000, 6000, 3, 400, 2
 _WORD = re.compile(r"\w+")
 _SWAP = {t: [x for x in group if x != t] for group in IDENTITY_TERMS for t in group}
 
 
 def features(word: str) -> list[int]:
-    """Hashes of a lower-case word's features: itself, and its beginnings of 4 to 6 letters (not of identity terms, which are swapped whole)."""
+    """64-bit hashes of a lower-case word's features: itself, and its beginnings of 4 to 6 letters (not of identity terms, which are swapped whole)."""
     names = [word] if word in _SWAP else [word, *(f"{word[:k]}-" for k in (4, 5, 6) if len(word) >= k)]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names]
+    return [xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass")) - (1 << 63) for n in names]
 
 
 def distinct_words(text: str | None) -> set[str]:
@@ -48,6 +52,7 @@ def distinct_words(text: str | None) -> set[str]:
 class Model:
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
+    swapped: int = 0  # counterfactual pairs in the penalty
 
     def logit(self, words: Iterable[str]) -> float:
         active = {f for w in words for f in features(w)}
@@ -56,19 +61,49 @@ class Model:
 
 @dataclass
 class Example:
-    """A labelled text: its distinct feature hashes, its identity terms, and a key that near-copies mostly share."""
+    """A labelled text: its distinct feature hashes, and its identity terms."""
 
     features: np.ndarray
     terms: list[str]
-    family: int
     label: int
 
     @classmethod
     def of(cls, words: set[str], label: int) -> Example:
-        long = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words if len(w) >= 9]
-        family = min(long) if long else zlib.crc32(" ".join(sorted(words)[:8]).encode("utf-8", "surrogatepass"))
-        found = np.unique(np.array([f for w in words for f in features(w)], dtype=np.uint32))
-        return cls(found, sorted(words & _SWAP.keys()), family, label)
+        return cls(np.unique(np.array([f for w in words for f in features(w)], dtype=np.int64)), sorted(words & _SWAP.keys()), label)
+
+
+def marks(text: str | None) -> list[int]:
+    """Four min-hashes of a text's five-word shingles: texts that share 0.8 of them have one in common in 99.8 % of cases, unlike texts never."""
+    s = shingle_set(text, 5)
+    if not len(s):
+        return [0] * 4
+    with np.errstate(over="ignore"):
+        mixed = [(s * np.uint64(m)) ^ (s >> np.uint64(k)) for m, k in ((1, 63), (0x9E3779B97F4A7C15, 31), (0xC2B2AE3D27D4EB4F, 29), (0x165667B19E3779F9, 27))]
+    return [int(x.min().view(np.int64)) for x in mixed]
+
+
+def of_families(rows: list[tuple[int, int, list[int]]], most: int = PER_FAMILY) -> list[int]:
+    """Of (row, label, marks) the rows to keep: at most so many of each label in a family, that is, rows joined by equal marks at one place."""
+    up = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    first: dict[tuple[int, int], int] = {}
+    for i, (_, _, own) in enumerate(rows):
+        for at in enumerate(own):
+            a, b = find(i), find(first.setdefault(at, i))
+            up[max(a, b)] = min(a, b)
+    seen: Counter = Counter()
+    kept = []
+    for i, (row, label, _) in enumerate(rows):
+        seen[label, find(i)] += 1
+        if seen[label, find(i)] <= most:
+            kept.append(row)
+    return kept
 
 
 class _Rows:
@@ -84,91 +119,123 @@ class _Rows:
         return np.bincount(self.col, self.val * r[self.row], minlength=self.width)
 
 
-def _counts(rows: list[Example], label: int) -> tuple[np.ndarray, np.ndarray]:
-    own = [r.features for r in rows if r.label == label]
-    return np.unique(np.concatenate(own) if own else np.empty(0, np.uint32), return_counts=True)
+def caution(c1: Column, c0: Column, n1: int, n0: int) -> tuple[Column, Column]:
+    """(log odds, their cautious part) of a feature in c1 of n1 toxic and c0 of n0 other texts."""
+    odds = F.log((c1 + 0.5) / (n1 + 1.0)) - F.log((c0 + 0.5) / (n0 + 1.0))
+    return odds, odds - 2.6 * F.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
 
 
-def fit(examples: Iterable[Example | tuple[set[str], int]], swap_weight: float = 5.0, ridge: float = 3e-4, steps: int = 400, per_family: int = 2) -> Model:
-    """Fit examples (or pairs of distinct words and label). With one label only, the model is its smoothed rate."""
-    seen: Counter = Counter()
-    kept: list[Example] = []
-    for e in examples:
-        e = e if isinstance(e, Example) else Example.of(*e)
-        seen[e.label, e.family] += 1
-        if seen[e.label, e.family] <= per_family:
-            kept.append(e)
+def counterfactuals(kept: list[Example]) -> list[dict[str, float]]:
+    """Changes of a text's terms under swaps, as term -> -1 or 1; '' stands for no term."""
+    out: list[dict[str, float]] = []
+    others = lambda t: sorted(_SWAP[t], key=lambda o: zlib.crc32(f"{t}>{o}".encode()))[:SWAPS]
+    every = sorted(_SWAP)
+    for label in (0, 1):
+        mute = [e for e in kept if e.label == label and not e.terms]
+        for k in range(min(INSERTED, len(mute))):  # one term put into each, and swapped or taken out again
+            t = every[(k * 7 + label) % len(every)]
+            out += [{t: -1.0, o: 1.0} for o in others(t)] + [{t: -1.0}]
+    for e in kept:
+        for t in e.terms:
+            out += [{t: -1.0} | ({o: 1.0} if o not in e.terms else {}) for o in others(t)]
+    return out
+
+
+def solve(kept: list[Example], prior: dict[int, float], swap_weight: float = 5.0, ridge: float = 3e-4, steps: int = 400) -> Model:
+    """Fit weights of the prior's features (which the ridge pulls towards their prior) and of all identity terms."""
     n1 = sum(e.label for e in kept)
-    n0 = len(kept) - n1
-    rate = (n1 + 0.5) / (len(kept) + 1.0) if kept else 0.1
-    if not n1 or not n0:
-        return Model(math.log(rate / (1 - rate)))
-    (f1, c1), (f0, c0) = _counts(kept, 1), _counts(kept, 0)
-    at = np.minimum(np.searchsorted(f0, f1), max(len(f0) - 1, 0))
-    below = np.where(f0[at] == f1, c0[at], 0) if len(f0) else np.zeros(len(f1), int)
-    odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((below + 0.5) / (n0 + 1))
-    sure = odds - 2.6 * np.sqrt(1 / (c1 + 0.5) + 1 / (below + 0.5))
-    good = np.flatnonzero((c1 + below >= 5) & (odds > 0) & (sure > 0))
-    good = good[np.lexsort((f1[good], -sure[good] * np.sqrt(c1[good])))][:MOST_FEATURES]
-    terms = {t: features(t)[0] for e in kept for t in e.terms}
-    prior = {int(f1[i]): float(sure[i]) / 2 for i in good} | dict.fromkeys(terms.values(), 0.0)
-    chosen = np.array(sorted(prior), dtype=np.uint32)
+    rate = (n1 + 0.5) / (len(kept) + 1.0)
+    prior = dict.fromkeys((features(t)[0] for t in _SWAP), 0.0) | prior
+    chosen = np.array(sorted(prior), dtype=np.int64)
     place = {int(f): i for i, f in enumerate(chosen)}
     m = len(chosen)
     cols = [np.searchsorted(chosen, np.intersect1d(e.features, chosen, assume_unique=True)) for e in kept]
     row = np.repeat(np.arange(len(kept)), [len(c) for c in cols])
     x = _Rows(row, np.concatenate(cols).astype(np.int64), np.ones(len(row)), len(kept), m)
     y = np.array([e.label for e in kept], float)
-    moved: list[dict[int, float]] = []
-    for e in kept:
-        for t in e.terms:
-            for o in sorted(_SWAP[t], key=lambda o: zlib.crc32(f"{t}>{o}".encode()))[:SWAPS]:
-                change = {place[terms[t]]: -1.0} | ({place[terms[o]]: 1.0} if o in terms and o not in e.terms else {})
-                moved.append(change)
-    d = None
-    if moved:
-        cells = [(r, c, v) for r, change in enumerate(moved) for c, v in change.items()]
-        d = _Rows(*(np.array(z) for z in zip(*cells, strict=True)), len(moved), m)
-    start = np.array([prior[int(f)] for f in chosen])  # cautious log odds; the ridge pulls towards them
+    moved = counterfactuals(kept)
+    cells = [(r, place[features(t)[0]], v) for r, change in enumerate(moved) for t, v in change.items()]
+    d = _Rows(*(np.array(z) for z in zip(*cells, strict=True)), len(moved), m)
+    start = np.array([prior[int(f)] for f in chosen])
     w, bias = start.copy(), math.log(rate / (1 - rate))
     mom, vel, mb, vb = np.zeros(m), np.zeros(m), 0.0, 0.0
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -35, 35)))
-        grad = x.back(p - y) / len(y) + ridge * (w - start)
-        if d is not None:
-            grad += swap_weight * d.back(2 * d.dot(w)) / d.n
+        grad = x.back(p - y) / len(y) + ridge * (w - start) + swap_weight * d.back(2 * d.dot(w)) / d.n
         gb = float((p - y).mean())
         mom, vel = 0.9 * mom + 0.1 * grad, 0.99 * vel + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate_ = 0.05 * (1 - step / (steps + 1))
         w -= rate_ * (mom / (1 - 0.9**step)) / (np.sqrt(vel / (1 - 0.99**step)) + 1e-8)
         bias -= rate_ * (mb / (1 - 0.9**step)) / (math.sqrt(vb / (1 - 0.99**step)) + 1e-8)
-    return Model(float(bias), {int(f): float(v) for f, v in zip(chosen, w, strict=True)})
+    return Model(float(bias), {int(f): float(v) for f, v in zip(chosen, w, strict=True)}, len(moved))
+
+
+def fit(examples: Iterable[Example | tuple[set[str], int]], swap_weight: float = 5.0) -> Model:
+    """Fit examples (or pairs of distinct words and label) that are at hand, with the same features as train()."""
+    kept = [e if isinstance(e, Example) else Example.of(*e) for e in examples]
+    n1 = sum(e.label for e in kept)
+    if not n1 or n1 == len(kept):
+        return _rate(n1, len(kept))
+    counts: Counter = Counter((int(f), e.label) for e in kept for f in e.features)
+    prior = {}
+    for f in {f for f, _ in counts}:
+        c1, c0, m1, m0 = counts[f, 1], counts[f, 0], n1, len(kept) - n1
+        odds = math.log((c1 + 0.5) / (m1 + 1)) - math.log((c0 + 0.5) / (m0 + 1))
+        sure = odds - 2.6 * math.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
+        if c1 + c0 >= 5 and odds > 0 and sure > 0:
+            prior[f] = (-sure * math.sqrt(c1), f, sure / 2)
+    return solve(kept, {f: p for _, f, p in sorted(prior.values())[:MOST_FEATURES]}, swap_weight)
+
+
+def _rate(n1: int, n: int) -> Model:
+    """With one label only, the model is its smoothed rate."""
+    rate = (n1 + 0.5) / (n + 1.0) if n else 0.1
+    return Model(math.log(rate / (1 - rate)))
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Memo.claim("toxicity")
     for part in slices(batches):
-        got = [Example.of(distinct_words(t), y) for y, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-        cols = [pa.array([e.features.tobytes() for e in got], pa.binary()), pa.array([e.terms for e in got], pa.list_(pa.string())), pa.array([e.family for e in got], pa.int64())]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["doc_id", "toxic", "features", "terms", "family"])
+        texts = part.column(2).to_pylist()
+        got = [Example.of(distinct_words(t), y) for y, t in zip(part.column(1).to_pylist(), texts, strict=True)]
+        cols = [pa.array([e.features for e in got], pa.list_(pa.int64())), pa.array([e.terms for e in got], pa.list_(pa.string())), pa.array([marks(t) for t in texts], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["doc_id", "toxic", "features", "terms", "marks"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", swap_weight: float = 5.0) -> Model:
     """Fit on at most MOST_TOXIC + MOST_CLEAN labelled rows of the training folds (crc32(doc_id) mod 3 is not 1), in hash order.
 
     Rows with a null id or label are no labels; of a repeated label the highest counts. The sample's ids, bounded by those two
-    numbers, are broadcast; the documents are scanned once and not shuffled. The driver gets four bytes a feature of the sample.
+    numbers, are broadcast; the documents are scanned once and not shuffled. Features are counted on the executors: the driver gets
+    MOST_FEATURES of them, and of each sampled row its marks, its terms and those of its features that were chosen.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(crc_fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, MOST_TOXIC).unionAll(pick(0, MOST_CLEAN))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(_examples, "doc_id long, toxic int, features binary, terms array<string>, family long").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    cells = lambda i: {n: got.column(n)[int(i)].as_py() for n in ("features", "terms", "family", "toxic")}
-    return fit(Example(np.frombuffer(c["features"], np.uint32), c["terms"], c["family"], c["toxic"]) for c in map(cells, order))
+    got = written(rows.select("doc_id", "toxic", "text").mapInArrow(_examples, "doc_id long, toxic int, features array<long>, terms array<string>, marks array<long>"), "sample")
+    place = F.xxhash64("doc_id", "toxic", "features", "marks")  # rows that share an id are copies or texts of their own
+    seen = sorted({(r.doc_id, r.at, r.toxic, tuple(r.marks)) for r in got.select("doc_id", place.alias("at"), "toxic", "marks").toLocalIterator()})[: MOST_TOXIC + MOST_CLEAN]
+    kept = of_families([((i, at), y, own) for i, at, y, own in seen])
+    if not kept:
+        return _rate(0, 0)
+    ids = spark.createDataFrame(kept, "doc_id long, at long")
+    used = got.withColumn("at", place).join(F.broadcast(ids), ["doc_id", "at"], "left_semi").dropDuplicates(["doc_id", "at"])
+    labels_ = {r.toxic: r["count"] for r in used.groupBy("toxic").count().collect()}
+    n1, n0 = labels_.get(1, 0), labels_.get(0, 0)
+    if not n1 or not n0:
+        return _rate(n1, n1 + n0)
+    counts = used.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0")).filter("c1 + c0 >= 5")
+    odds, sure = caution(F.col("c1"), F.col("c0"), n1, n0)
+    good = counts.withColumns({"odds": odds, "sure": sure}).filter("odds > 0 and sure > 0").orderBy(F.desc(F.col("sure") * F.sqrt("c1")), "f").limit(MOST_FEATURES)
+    prior = {r.f: r.sure / 2 for r in good.select("f", "sure").collect()}
+    wanted = F.array(*map(F.lit, sorted({*prior, *(features(t)[0] for t in _SWAP)})))
+    short = used.select("doc_id", "at", "toxic", "terms", F.array_intersect("features", wanted).alias("features")).collect()
+    examples = [Example(np.unique(np.array(r.features, np.int64)), list(r.terms), r.toxic) for r in sorted(short, key=lambda r: (r.doc_id, r["at"]))]
+    return solve(examples, prior, swap_weight)
 
 
 _worker: dict = {}
@@ -190,9 +257,8 @@ def _scores(model: Model):
         Memo.claim("toxicity")
         weights = model.weights
         known = _known(model)
-        at = None
         for part in slices(batches):
-            at = part.schema.get_field_index("_text") if at is None else at
+            at = part.num_columns - 1
             out = []
             for text in part.column(at).to_pylist():
                 active: set[str] = set()
@@ -202,22 +268,28 @@ def _scores(model: Model):
                         active.update(hit)
                 z = model.bias + math.fsum(weights[f] for f in active)
                 out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
-            cols = [c for i, c in enumerate(part.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.float64())], [*[n for n in part.schema.names if n != "_text"], "_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(out, pa.float64())], [*part.schema.names[:at], "score"])
 
     return run
 
 
+#: A name that no table is expected to use; scored() checks.
+SCORE = "toxicity score 5f1d"
+
+
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of docs and ``_score`` of the whole text; null and empty texts get the score of no words."""
+    """``keep`` columns of docs, whatever their names, and SCORE of the whole text; null and empty texts get the score of no words."""
     keep = docs.columns if keep is None else keep
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(_scores(model), f"{schema}, _score double")
+    if SCORE in keep:
+        raise ValueError(f"a column is named {SCORE!r}")
+    given = docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(_scores(model), schema).toDF(*keep, SCORE)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, swap_weight: float = 5.0) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs; a null id is not held out. Other columns are not read."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = scored(base, train(base, labels), keep=["doc_id"])
-    held = F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    out = scored(base, train(base, labels, swap_weight=swap_weight), keep=["doc_id"])
+    held, score = F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False)), F.col(f"`{SCORE}`")
+    return out.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
