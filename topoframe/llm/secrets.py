@@ -26,8 +26,9 @@ _NAMED = rf"[A-Za-z0-9+/_-]{{0,40}}?(?i:{_NAMES})[A-Za-z0-9_-]{{0,16}}[\"']?[ \t
 _LOGIN = r"[A-Za-z][A-Za-z0-9+-]{1,20}://[^\s/:@\"']{1,64}:"
 _VALUE = rf"(?:(?:{_RUN}|{_FORMS})(?=[\s\"'.,;)\]}}<]|&[A-Za-z_]+=|\z)|(?<=\")[^\s\"]{{6,}}+(?=\")|(?<=')[^\s']{{6,}}+(?=')|[^\s\"'][^\s\"]{{4,}}[^\s\"'.,;:)\]}}])"
 CONTEXT = rf"(?:{_LOGIN}|{_NAMED})(?=\S{{6,}}\z)"
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?:{_LOGIN}[^\s@\"]{{6,256}}(?=@)|{_NAMED}{_VALUE}|{_RUN}|{_FORMS})"
-KNOWN_FORMS = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|rk_live_|xox[abps]-|AIza|glpat-|npm_)"
+_PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,30}PRIVATE KEY-----"
+CANDIDATE = rf"{_PEM}|(?<![A-Za-z0-9+/_-])(?:{_LOGIN}[^\s@\"]{{6,256}}(?=@)|{_NAMED}{_VALUE}|{_RUN}|{_FORMS})"
+KNOWN_FORMS = r"^(?:-----BEGIN|AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|rk_live_|xox[abps]-|AIza|glpat-|npm_)"
 SECRET_WORDS = r"(?i)(?:secret|token|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[A-Za-z0-9_-]{0,16}\W{0,6}$"
 OTHER_WORDS = r"(?i)(?:sha-?\d*|md5|commit|checksum|digest|uuid|guid|revision|etag|integrity|version|sample|example|dummy|placeholder|order|card|account|isbn|phone|build|ref|trace|image|id)\W{0,6}$"
 DICTIONARY = [
@@ -53,7 +54,7 @@ def _feature_sql(v: str, before: str, after: str, path: str) -> dict[str, str]:
         "f_digit": f"regexp_count({v}, '[0-9]') / {n}",
         "f_upper": f"regexp_count({v}, '[A-Z]') / {n}",
         "f_hex": number(f"{v} rlike '^[0-9a-f]+$'"),
-        "f_distinct": f"size(array_distinct(split(substring({v}, 1, 64), ''))) / least({n}, 64)",
+        "f_distinct": f"size(array_distinct(split({v}, ''))) / least({n}, 64)",
         "f_dict": f"1 - length(regexp_replace(lower({v}), {q(words)}, '')) / {n}",
         "f_slashes": f"regexp_count({v}, '[/]') / {n}",
         "f_path": number(f"{before} rlike {q('[/.\\\\\\\\]$|://[^ ]*$')} or {path} rlike {q(TEST_PATHS)}"),
@@ -97,8 +98,12 @@ def labelled_findings(n: int = 1600, seed: int = 20) -> list[tuple[str, str, str
         value = some(hexa, r.choice([16, 18, 20, 32, 40, 64])) if kind < 5 else some(mixed, r.choice([20, 32, 40])) + "4"
         return value + ("1" if value.isalpha() else ""), prose() + r.choice(names) + how, ('"' if '"' in how else "'" if "'" in how else "") + " " + word()
 
-    def other() -> tuple[str, str, str]:
-        kind = r.randrange(13)
+    def block() -> tuple[str, str, str]:
+        kind, body = r.choice(["", "RSA ", "EC ", "OPENSSH "]), "\n".join(some(mixed + "+/", 64) for _ in range(r.randint(2, 12)))
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----", prose(), "\n" + word()
+
+    def other(kind: int | None = None) -> tuple[str, str, str]:
+        kind = r.randrange(13) if kind is None else kind
         if kind >= 10:  # what stands after a secret word in prose and code
             how, w = r.choice([*assign, ": "]), some("abcdefghilmnoprstu", r.randint(6, 12))
             value = r.choice([w, w, w.title(), r.choice(DICTIONARY) + "_" + w, f"get_{w}()", f"self.{w}", f"os.environ[{w}]", "${" + w.upper() + "}", "<" + w + ">", "{{" + w + "}}", r.choice("*x.") * r.randint(6, 12), f"{w}-{r.choice(DICTIONARY)}", f"{w}.{word()}"])
@@ -128,6 +133,8 @@ def labelled_findings(n: int = 1600, seed: int = 20) -> list[tuple[str, str, str
         label = i % 2
         value, before, after = secret() if label else other()
         out.append((value, before[-60:], after[:40], "src/main.py" if label or r.random() < 0.7 else "tests/fixtures/a.txt", label))
+    for _ in range(n // 20):  # key blocks, and more of the code that stands after secret words
+        out += [(v, b[-60:], a[:40], "src/main.py", y) for y, (v, b, a) in ((1, block()), (0, other(10)), (0, other(11)))]
     return out
 
 
@@ -183,30 +190,53 @@ def train(spark: SparkSession, findings: Sequence[tuple[str, str, str, str, int]
     return _forests[key]
 
 
-def findings_column(text: str, path: str, forest: list[object]) -> Column:
-    """array<struct<value, start, before, after, score>>: every candidate occurrence in a text, start from 1.
+#: Occurrences whose lengths are summed at a time, so that places cost far less than one pass over all before for each.
+_STEP = 256
+
 
-    A null text has none (an empty array).
+def _walk(text: str, path: str, forest: list[object]) -> str:
+    """SQL of an array that is empty, or holds one struct: the pieces ``p`` of the text between the matches, and the occurrences ``o``.
+
+    A match begins with its context (``lead``), if any, which is no part of the value. The text is cut once; places are
+    sums of lengths, and an occurrence's surroundings come from the pieces and the match next to it.
     """
     lit = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    pattern = lit(CANDIDATE)
-    found = f"filter(array(regexp_extract_all({text}, {pattern}, 0)), m -> size(m) > 0)"
-    # the pieces between the matches, cut by the same pattern, give the places; a match begins with its context, if any
-    cuts = f"transform({found}, m -> struct(m as m, transform(m, x -> regexp_replace(x, {lit('^' + CONTEXT)}, '')) as v, split({text}, {pattern}, -1) as p))"
-    start = "length(array_join(slice(c.p, 1, i + 1), '')) + length(array_join(slice(c.m, 1, i + 1), '')) - length(v) + 1"
-    places = f"flatten(transform({cuts}, c -> transform(c.v, (v, i) -> struct(v as v, {start} as start))))"
-    ctx = f"transform({places}, o -> struct(o.v as v, o.start as start, substring({text}, greatest(o.start - 60, 1), least(60, o.start - 1)) as before, substring({text}, o.start + length(o.v), 40) as after))"
+    total = lambda xs: f"aggregate({xs}, 0L, (s, x) -> s + x)"
+    up_to = lambda n: f"sequence(0, {n} - 1)"
+    found = f"filter(array(regexp_extract_all({text}, {lit(CANDIDATE)}, 0)), m -> size(m) > 0)"
+    cut = f"transform({found}, m -> struct(m as m, split({text}, {lit(CANDIDATE)}, -1) as p))"
+    cut = f"transform({cut}, c -> struct(c.m as m, c.p as p, zip_with(c.m, slice(c.p, 1, size(c.m)), (x, y) -> cast(length(x) + length(y) as bigint)) as l))"
+    steps = f"cast(ceil(size(c.l) / {_STEP}) as int)"
+    cut = f"transform({cut}, c -> struct(c.m as m, c.p as p, c.l as l, transform({up_to(steps)}, b -> {total(f'slice(c.l, b * {_STEP} + 1, {_STEP})')}) as t))"
+    cut = f"transform({cut}, c -> struct(c.m as m, c.p as p, c.l as l, transform({up_to('size(c.t)')}, b -> {total('slice(c.t, 1, b)')}) as t))"
+    at = f"cast(floor(i / {_STEP}) as int)"
+    start = f"get(c.t, {at}) + {total(f'slice(c.l, {at} * {_STEP} + 1, i % {_STEP})')} + length(get(c.p, i))"
+    last = lambda s: f"right(coalesce({s}, ''), 60)"
+    first = lambda s: f"left(coalesce({s}, ''), 40)"
+    one = f"struct(x as x, regexp_replace(x, {lit('^' + CONTEXT)}, '') as v, {start} as start, concat({last('get(c.p, i - 1)')}, {last('get(c.m, i - 1)')}, {last('get(c.p, i)')}) as b, concat({first('get(c.p, i + 1)')}, {first('get(c.m, i + 1)')}) as a)"
+    occ = f"transform(c.m, (x, i) -> {one})"
+    occ = f"transform({occ}, o -> struct(o.v as v, left(o.x, length(o.x) - length(o.v)) as lead, o.start as start, o.b as b, left(o.a, 40) as after))"
+    occ = f"transform({occ}, o -> struct(o.v as v, o.lead as lead, o.start + length(o.lead) + 1 as start, right(concat(o.b, o.lead), 60) as before, o.after as after))"
     feats = ", ".join(f"cast({sql} as double) as {name}" for name, sql in _feature_sql("o.v", "o.before", "o.after", path).items())
-    made = f"transform({ctx}, o -> struct(o.v as v, o.start as start, o.before as before, o.after as after, {feats}))"
+    occ = f"transform({occ}, o -> struct(o.v as v, o.lead as lead, o.start as start, o.before as before, o.after as after, {feats}))"
     score = "(" + " + ".join(_tree_sql(t, "f") for t in forest) + f") / {len(forest)}D"
-    return F.expr(f"coalesce(transform({made}, f -> struct(f.v as value, f.start as start, f.before as before, f.after as after, {score} as score)), array())")
+    occ = f"transform({occ}, f -> struct(f.v as value, f.lead as lead, f.start as start, f.before as before, f.after as after, {score} as score))"
+    return f"transform({cut}, c -> struct(c.p as p, {occ} as o))"
+
+
+def findings_column(text: str, path: str, forest: list[object]) -> Column:
+    """array<struct<value, lead, start, before, after, score>>: every candidate occurrence in a text, start from 1.
+
+    A null text has none (an empty array). ``before`` reaches back 60 characters, at most to the end of the match before the last.
+    """
+    return F.expr(f"coalesce(flatten(transform({_walk(text, path, forest)}, w -> w.o)), array())")
 
 
 def scan(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """(doc_id, start, length, value, score, is_secret), one row per candidate occurrence.
 
     Null and empty texts and texts without candidates give no row; repeated rows give their findings each; a
-    null id stays null. Other columns are not read.
+    null id stays null. Values have no greatest length. Other columns are not read.
     """
     forest = train(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), (F.col(path_col).cast("string") if path_col else F.lit("")).alias("_path"))
@@ -216,9 +246,13 @@ def scan(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_c
 
 
 def redacted(docs: DataFrame, threshold: float = 0.5, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """docs with every secret's value in the text replaced by a mark; other columns, rows and texts stay as they are."""
+    """docs with the occurrences that are secrets replaced by a mark, each at its place, and with them other occurrences of a value
+    that is a secret somewhere in the same text. Equal characters inside a longer word stay. Other columns, rows and texts stay
+    as they are, null and empty ones too."""
     forest = train(docs.sparkSession)
-    hits = F.transform(F.filter(findings_column(f"`{text_col}`", "''", forest), lambda f: f["score"] >= threshold), lambda f: f["value"])
-    longest_first = F.array_sort(F.array_distinct(hits), lambda a, b: F.length(b) - F.length(a))
-    clean = F.aggregate(longest_first, F.col(text_col), lambda acc, v: F.replace(acc, v, F.lit(mark)))
-    return docs.withColumn(text_col, F.when(F.col(text_col).rlike(CANDIDATE), clean).otherwise(F.col(text_col)))
+    text, shown = f"`{text_col}`", mark.replace("\\", "\\\\").replace("'", "\\'")
+    secret, values = f"round(o.score, 6) >= {threshold}D", lambda yes: f"transform(filter(w.o, o -> {yes}), o -> o.value)"
+    walk = f"transform({_walk(text, chr(39) * 2, forest)}, w -> struct(w.p as p, w.o as o, array_intersect({values(f'not ({secret})')}, {values(secret)}) as again))"
+    kept = f"zip_with(slice(w.p, 1, size(w.o)), w.o, (y, o) -> concat(y, o.lead, if({secret} or array_contains(w.again, o.value), '{shown}', o.value)))"
+    clean = F.expr(f"get(transform({walk}, w -> concat(array_join({kept}, ''), element_at(w.p, -1))), 0)")
+    return docs.withColumn(text_col, F.when(F.col(text).rlike(CANDIDATE), F.coalesce(clean, F.col(text))).otherwise(F.col(text)))
