@@ -94,6 +94,27 @@ def test_divide_skip_finds_required_overlap():
     every = list(range(len(sets)))
     want = roots(len(sets), [(i, j) for i in every for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))])
     assert roots(len(sets), list(jaccard.divide_skip(sets, 85, every, every))) == want
+    for seed in range(60):  # chains of documents, and blocks against each other
+        r = np.random.default_rng(seed)
+        sets, cur = [], np.unique(r.integers(0, 4000, 60).astype(np.uint64))
+        for _ in range(70):
+            cur = np.unique(np.concatenate([cur[r.random(len(cur)) > r.choice([0.01, 0.05, 0.3])], r.integers(0, 4000, r.integers(0, 6)).astype(np.uint64)]))
+            cur = cur if len(cur) > 12 else np.unique(r.integers(0, 4000, 60).astype(np.uint64))
+            sets.append(cur)
+        r.shuffle(order := list(range(70)))
+        linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))  # noqa: B023, E731
+        assert roots(70, list(jaccard.divide_skip(sets, 85, order, order))) == roots(70, [(i, j) for i in range(70) for j in range(i) if linked(i, j)])
+        left, right = sorted(order[:30]), sorted(order[30:])
+        assert roots(70, list(jaccard.divide_skip(sets, 85, left, right))) == roots(70, [(i, j) for i in left for j in right if linked(i, j)])
+
+
+def test_merge_skip():
+    r = random.Random(17)
+    for _ in range(300):
+        lists = [sorted(r.sample(range(60), r.randint(1, 40))) for _ in range(r.randint(1, 12))]
+        least = r.randint(1, 8)
+        counts = {d: sum(d in x for x in lists) for d in range(60)}
+        assert list(jaccard.merge_skip(lists, least)) == [(d, c) for d, c in sorted(counts.items()) if c >= least]
 
 
 VECTORS = "vec_id long, embedding array<float>, label int"

@@ -17,6 +17,7 @@ pair shares at least ``T(n) = ceil(percent * n / 100)`` shingles of either docum
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import math
@@ -104,30 +105,58 @@ def _sets(width: int):
     return run
 
 
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(document, lists it is in) for documents in at least ``least`` of the ascending lists, by a heap; lists that cannot
+    complete such a number skip ahead by binary search."""
+    at = [0] * len(lists)
+    heap = [(x[0], k) for k, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            yield top, len(popped)
+            goal = top + 1
+        else:
+            while len(popped) < least - 1 and heap:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            goal = heap[0][0]
+        for k in popped:
+            own = lists[k]
+            at[k] = i = bisect.bisect_left(own, goal, at[k])
+            if i < len(own):
+                heapq.heappush(heap, (own[i], k))
+
+
 def divide_skip(sets: list[np.ndarray], percent: int, queries: list[int], indexed: list[int]) -> Iterator[tuple[int, int]]:
     """Links (spanning, not all) between the query documents and the indexed ones; both are positions in ``sets``.
 
-    A query's short lists, without the documents that are connected to it already, are merged by a heap; documents that occur often
-    enough in them are looked for in its long lists by binary search.
+    A query's short lists are merged by a heap, documents that occur often enough in them are looked for in its long lists by
+    binary search. Documents that are connected already are left out of the lists. Where the queries are the indexed
+    documents, a document that was asked leaves the index, and those of the largest component are asked
+    last: once only they are left, every pair is settled.
     """
-    label = np.arange(len(sets))  # connected documents share the least one's number
-    members = {i: [i] for i in range(len(sets))}
-    indexed = sorted(indexed)
+    indexed, same = sorted(indexed), sorted(queries) == sorted(indexed)
+    label = np.arange(len(sets))  # connected documents share a number
+    members = {i: [i] for i in {*queries, *indexed}}
+    largest = -1
     at = {d: i for i, d in enumerate(indexed)}
-    docs = np.array(indexed)
+    docs, alive = np.array(indexed), np.ones(len(indexed), bool)
     keys, lists = np.unique(np.concatenate([sets[d] for d in indexed]), return_inverse=True)
-    owner = np.repeat(np.arange(len(indexed)), [len(sets[d]) for d in indexed])
+    n_of = np.array([len(sets[d]) for d in indexed])
+    owner = np.repeat(np.arange(len(indexed)), n_of)
     order = np.argsort(lists, kind="stable")
     postings = owner[order]
     places = lists[order] * len(indexed) + postings  # ascending: list by list, document by document
     sizes = np.bincount(lists, minlength=len(keys))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    ends = np.cumsum([len(sets[d]) for d in indexed])
-    own = [lists[e - len(sets[d]) : e] for d, e in zip(indexed, ends, strict=True)]
-    n_of = np.array([len(sets[d]) for d in indexed])
-    for q in queries:
-        if len(members) == 1:
-            return
+    starts = np.cumsum(sizes) - sizes
+    own = np.split(lists, np.cumsum(n_of)[:-1])
+
+    def ask(q: int) -> Iterator[tuple[int, int]]:
+        nonlocal largest
         n = len(sets[q])
         if q in at:
             mine = own[at[q]]
@@ -137,37 +166,59 @@ def divide_skip(sets: list[np.ndarray], percent: int, queries: list[int], indexe
             mine = pos[keys[pos] == sets[q]]
         t = need(n, percent)
         if len(mine) < t:
-            continue
+            return
         by_length = mine[np.argsort(sizes[mine], kind="stable")]
-        longest = int(sizes[by_length[-1]])
-        n_long = max(0, min(t - 1, int(t / (0.02 * math.log2(longest + 1) + 1))))
+        n_long = max(0, min(t - 1, int(t / (0.02 * math.log2(int(sizes[by_length[-1]]) + 1) + 1))))
         n_long = min(n_long, len(mine) - 1)
         short, long = by_length[: len(mine) - n_long], np.sort(by_length[len(mine) - n_long :])
-        if int(sizes[short].sum()) == len(short) and q in at:
-            continue  # every short list holds the query alone
-        merge = []
-        for x in short:
-            new = postings[starts[x] : starts[x + 1]]
-            new = new[label[docs[new]] != label[q]]
-            if len(new):
-                merge.append(new.tolist())
-        counts: dict[int, int] = {}
-        for d in heapq.merge(*merge) if len(merge) > 1 else merge[0] if merge else ():
-            counts[d] = counts.get(d, 0) + 1
-        for d, seen in counts.items():
-            m, other = int(n_of[d]), indexed[d]
-            if seen < t - n_long or 100 * min(n, m) < percent * max(n, m) or label[q] == label[other]:
+        each = sizes[short]
+        if int(each.sum()) == len(short) and q in at:
+            return  # every short list holds the query alone
+        which = np.repeat(np.arange(len(short)), each)
+        found = postings[np.repeat(starts[short] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        fits = (100 * np.minimum(n, n_of) >= percent * np.maximum(n, n_of)) & alive
+        more, last = True, -1
+        while more:
+            more = False
+            keep = (fits & (label[docs] != label[q]))[found] & (found > last)
+            found, which = found[keep], which[keep]
+            if not len(found):
+                return
+            merged = [x.tolist() for x in np.split(found, np.flatnonzero(np.diff(which)) + 1)]
+            for d, seen in merge_skip(merged, max(1, t - n_long)):
+                other = indexed[d]
+                if label[q] == label[other]:
+                    continue
+                wanted = long * len(indexed) + d
+                probe = np.searchsorted(places, wanted)
+                probe[probe == len(places)] = 0
+                both = seen + int((places[probe] == wanted).sum())
+                if 100 * both >= percent * (n + int(n_of[d]) - both):
+                    joined = len(members[int(label[other])])
+                    a, b = sorted((int(label[q]), int(label[other])), key=lambda x: -len(members[x]))
+                    moved = members.pop(b)
+                    members[a] += moved
+                    label[moved] = a
+                    if largest not in members or len(members[a]) > len(members[largest]):
+                        largest = a
+                    yield q, other
+                    if joined > 16:  # leave the others of that component out of the lists
+                        more, last = True, d
+                        break
+
+    waiting = list(queries)
+    while waiting:
+        later = []
+        for q in waiting:
+            if same and label[q] == largest:
+                later.append(q)
                 continue
-            wanted = long * len(indexed) + d
-            probe = np.searchsorted(places, wanted)
-            probe[probe == len(places)] = 0
-            both = seen + int((places[probe] == wanted).sum())
-            if 100 * both >= percent * (n + m - both):
-                a, b = sorted((int(label[q]), int(label[other])))
-                moved = members.pop(b)
-                members[a] += moved
-                label[moved] = a
-                yield q, other
+            if len(members) == 1:
+                return
+            yield from ask(q)
+            if same:
+                alive[at[q]] = False
+        waiting = [] if all(label[q] == largest for q in later) else later
 
 
 def _verify(percent: int):
