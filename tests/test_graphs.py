@@ -107,7 +107,7 @@ def test_geometry(spark):
     assert one(spark, G.point_segment_distance(arr(0, 3), arr(0, 0), arr(10, 0))) == 3
     assert one(spark, G.visible_path(path((0, 0), (100, 0)), 12)) == [[12, 0], [88, 0]]
     assert one(spark, G.arrowhead(path((0, 0), (100, 0))))[0] == [100, 0]
-    assert one(spark, G.boxes_overlap(box, arr(17, 0, 20, 5))) and not one(spark, G.boxes_overlap(box, arr(18, 0, 20, 5)))
+    assert one(spark, G.boxes_overlap(box, arr(18, 0, 20, 5))) and not one(spark, G.boxes_overlap(box, arr(19, 0, 20, 5)))  # a gap of the margin overlaps
 
 
 def test_split_shares_round_half_to_even(spark):
@@ -219,3 +219,48 @@ def test_training_text_and_reports(spark, tmp_path):
     assert files.task_manifests("f", "node", exists=lambda p: p.endswith("train.jsonl")) == ("f/node/train.jsonl", None)
     with pytest.raises(FileNotFoundError):
         files.task_manifests("f", "node", exists=lambda p: False)
+
+
+def arr(*v):
+    return F.array(*(F.lit(float(x)) for x in v))
+
+
+def arr2(*points):
+    return F.array(*(arr(*p) for p in points))
+
+
+def test_pixels_of_routes(spark):
+    """Worked by hand: floored centres, halves to even, ends trimmed one after the other, a node's own reach."""
+    path = lambda *ps: arr2(*ps)
+    assert one(spark, G.boundary_point(arr(0, 0, 10, 11), arr(20, 7))) == [10, 6]  # centre (5, 5): 5 + 2 * 5 / 15 = 5.67
+    assert one(spark, G.boundary_point(arr(0, 0, 11, 10), arr(5, 5))) == [5, 5] and one(spark, G.boundary_point(arr(0, 0, 4, 4), arr(3, 12))) == [2, 4]
+    assert one(spark, G.offset_point(arr(0, 0), arr(10, 10), 12)) == [8, 8] and one(spark, G.offset_point(arr(3, 3), arr(3, 3), 12)) == [3, 3]
+    assert one(spark, G.visible_path(path((0, 0), (10, 0)), 12)) == [[12, 0], [22, 0]]  # the trimmed first point lies behind the last
+    assert one(spark, G.visible_path(path((5, 5)), 12)) == [[5, 5]]
+    assert one(spark, G.arrowhead(path((5, 5)))) == [] and one(spark, G.arrowhead(path((0, 0), (100, 0)))) == [[100, 0], [86, 8], [86, -8]]
+    clear = lambda y: one(spark, G.segment_clear(arr(0, 0), arr(100, 0), F.array(arr(40, y - 10, 60, y + 10))))
+    assert clear(16) and not clear(15)  # half of 20 and 6
+    a, b = one(spark, G.detour_candidates(arr(100, 300), arr(500, 310), F.array(arr(280, 250, 320, 360), arr(900, 0, 950, 700)), 42, 56))
+    assert a == [[100, 300], [100, 208], [500, 208], [500, 310]] and b == [[100, 300], [100, 416], [500, 416], [500, 310]]
+    a, b = one(spark, G.detour_candidates(arr(60, 100), arr(70, 500), F.array(arr(40, 250, 90, 300)), 42, 56))
+    assert a == [[60, 100], [32, 100], [32, 500], [70, 500]] and b == [[60, 100], [146, 100], [146, 500], [70, 500]]
+    assert one(spark, G.long_same_lane(arr(0, 0), arr(220, 72))) and not one(spark, G.long_same_lane(arr(0, 0), arr(219, 72))) and one(spark, G.long_same_lane(arr(0, 0), arr(0, 300)))
+
+
+def test_matching_leaves_nameless_nodes_and_orders_ids(spark):
+    kind = "sample_id string, pos long, id string, name string, box array<double>"
+    rows = lambda *xs: spark.createDataFrame([("s", i, n, name, []) for i, (n, name) in enumerate(xs)], kind)
+    assert matching.match_nodes(rows(("n1", "###")), rows(("n1", "!!"))).count() == 0
+    got = matching.match_nodes(rows(("x1", "a"), ("n10", "a"), ("n01", "a"), ("n2", "a")), rows(("n5", "A"), ("g2", "A"), ("g10", "A"), ("n4", "A")))
+    assert {(x.pred_id, x.gold_id) for x in got.collect()} == {("n2", "n4"), ("n10", "n5"), ("n01", "g10"), ("x1", "g2")}
+    gold = spark.createDataFrame([("s", 0, "n1", "a", [0.0, 0.0, 9.0, 9.0]), ("s", 1, "n1", "a", [50.0, 50.0, 60.0, 60.0])], kind)  # an id twice: two nodes
+    pred = spark.createDataFrame([("s", 0, "p1", "a", [0.0, 0.0, 9.0, 9.0]), ("s", 1, "p2", "a", [50.0, 50.0, 60.0, 60.0])], kind)
+    assert {(x.pred_id, x.gold_id) for x in matching.match_nodes(pred, gold).collect()} == {("p1", "n1"), ("p2", "n1")}
+
+
+def test_orders_of_any_id(spark):
+    ids = spark.createDataFrame([(x,) for x in (0, 7, 3_470_000_000, 9_223_372_036_854_775_807, -5)], "id long")
+    got = [x[0] for x in ids.select(curation.hash_order("id")).collect()]
+    assert got == [(x % 2**31) * 2654435761 % 2**32 for x in (0, 7, 3_470_000_000, 9_223_372_036_854_775_807, -5)]
+    log = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 4, "c")], "k long, seq long, v string")
+    assert {curation.last_by_key(log.repartition(n), ["k"], "seq").first().v for n in (1, 2, 3)} in ({"a"}, {"b"})

@@ -114,48 +114,53 @@ def side_anchor(box: Column | str, side: Column | str) -> Column:
 
 
 def boundary_point(box: Column | str, target: Column | str) -> Column:
-    """Where the ray from a box's centre to a point leaves the box; the centre if it never does."""
-    b, t = col(box), col(target)
-    cx, cy = (_at(b, 0) + _at(b, 2)) / 2.0, (_at(b, 1) + _at(b, 3)) / 2.0
+    """Where the ray from a box's floored centre to a point leaves the box, in whole pixels (halves to even); the centre if it never does."""
+    b, t, c = col(box), col(target), box_center(box)
+    cx, cy = _at(c, 0).cast("double"), _at(c, 1).cast("double")
     dx, dy = _at(t, 0) - cx, _at(t, 1) - cy
     hits = []
-    for i, (d, c, o, od, lo, hi) in enumerate([(dx, cx, cy, dy, 1, 3), (dx, cx, cy, dy, 1, 3), (dy, cy, cx, dx, 0, 2), (dy, cy, cx, dx, 0, 2)]):
-        wall = _at(b, [0, 2, 1, 3][i])
-        s = F.try_divide(wall - c, d)
-        other = o + s * od
-        inside = (s > 0) & (other >= _at(b, lo) - 1e-9) & (other <= _at(b, hi) + 1e-9)
-        hits.append(F.when(inside, F.struct(s.alias("s"), (cx + s * dx).alias("x"), (cy + s * dy).alias("y"))))
+    for i, wall in enumerate((0, 2, 1, 3)):  # of equally early hits the first counts
+        upright = i < 2
+        s = F.try_divide(_at(b, wall) - (cx if upright else cy), dx if upright else dy)
+        other = cy + s * dy if upright else cx + s * dx
+        low, high = (1, 3) if upright else (0, 2)
+        x, y = (_at(b, wall), other) if upright else (other, _at(b, wall))
+        hits.append(F.when((s > 0) & (other >= _at(b, low)) & (other <= _at(b, high)), F.struct(s.alias("s"), F.lit(i).alias("i"), F.bround(x.cast("double")).cast("int").alias("x"), F.bround(y.cast("double")).cast("int").alias("y"))))
     best = F.array_min(F.array(*hits))
-    return F.when(best.isNull(), F.array(cx, cy)).otherwise(F.array(best["x"], best["y"]))
+    return F.when(best.isNull(), c).otherwise(F.array(best["x"], best["y"]))
 
 
-def arrowhead(path: Column | str, size: float = 10.0, spread: float = 0.82 * math.pi) -> Column:
-    """Three integer points of a head at the end of a path's last segment."""
+def arrowhead(path: Column | str, size: float = 16.0, spread: float = 0.82 * math.pi) -> Column:
+    """Three integer points of a head at the end of a path's last segment; none for a path of fewer than two points."""
     p = col(path)
-    tip, prev = F.element_at(p, -1), F.element_at(p, -2)
+    tip, prev = F.get(p, F.size(p) - 1), F.get(p, F.size(p) - 2)
     angle = F.atan2(_at(tip, 1) - _at(prev, 1), _at(tip, 0) - _at(prev, 0))
     wing = lambda turn: F.array((_at(tip, 0) + size * F.cos(angle + turn)).cast("int"), (_at(tip, 1) + size * F.sin(angle + turn)).cast("int"))
-    return F.array(F.array(_at(tip, 0).cast("int"), _at(tip, 1).cast("int")), wing(spread), wing(-spread))
+    head = F.array(F.array(_at(tip, 0).cast("int"), _at(tip, 1).cast("int")), wing(spread), wing(-spread))
+    return F.when(F.size(p) >= 2, head).otherwise(F.expr("cast(array() as array<array<int>>)"))
 
 
 def offset_point(a: Column | str, b: Column | str, distance: float) -> Column:
-    """Point a moved towards b by a distance (away from it if negative)."""
+    """Point a moved towards b by a distance (away from it if negative), in whole pixels; a itself where both are one."""
     a, b = col(a), col(b)
     d = _distance(a, b)
-    return F.when(d > 0, F.array(_at(a, 0) + (_at(b, 0) - _at(a, 0)) / d * distance, _at(a, 1) + (_at(b, 1) - _at(a, 1)) / d * distance)).otherwise(a)
+    moved = lambda i: F.bround(_at(a, i) + (_at(b, i) - _at(a, i)) / d * distance).cast("int")
+    return F.when(d > 0, F.array(moved(0), moved(1))).otherwise(F.transform(a, lambda v: v.cast("int")))
 
 
-def visible_path(path: Column | str, clearance: float) -> Column:
-    """Both ends trimmed by a clearance."""
+def visible_path(path: Column | str, clearance: float = 12) -> Column:
+    """Both ends trimmed by a clearance, the first one first: on a path of two points the last one moves towards the trimmed first."""
     p = col(path)
-    n = F.size(p)
-    first, last = offset_point(_at(p, 0), _at(p, 1), clearance), offset_point(F.element_at(p, -1), F.element_at(p, -2), clearance)
-    return F.when(n >= 2, F.concat(F.array(first), F.slice(p, F.lit(2), F.greatest(n - 2, F.lit(0))), F.array(last))).otherwise(p)
+    n, whole = F.size(p), F.transform(p, lambda q: F.transform(q, lambda v: v.cast("int")))
+    first = offset_point(_at(p, 0), _at(p, 1), clearance)
+    last = offset_point(F.get(p, n - 1), F.when(n == 2, first.cast("array<double>")).otherwise(F.get(p, n - 2).cast("array<double>")), clearance)
+    return F.when(n >= 2, F.concat(F.array(first), F.slice(whole, F.lit(2), F.greatest(n - 2, F.lit(0))), F.array(last))).otherwise(whole)
 
 
 def boxes_overlap(a: Column | str, b: Column | str, margin: float = 8) -> Column:
+    """Whether boxes overlap or come as near as the margin: a gap of exactly the margin is an overlap."""
     a, b = col(a), col(b)
-    apart = (_at(a, 2) + margin <= _at(b, 0)) | (_at(b, 2) + margin <= _at(a, 0)) | (_at(a, 3) + margin <= _at(b, 1)) | (_at(b, 3) + margin <= _at(a, 1))
+    apart = (_at(a, 2) + margin < _at(b, 0)) | (_at(b, 2) + margin < _at(a, 0)) | (_at(a, 3) + margin < _at(b, 1)) | (_at(b, 3) + margin < _at(a, 1))
     return ~apart
 
 
@@ -198,16 +203,46 @@ def point_segment_distance(p: Column, a: Column, b: Column) -> Column:
     return F.hypot(_at(p, 0) - (_at(a, 0) + t * dx), _at(p, 1) - (_at(a, 1) + t * dy))
 
 
-def segment_clear(a: Column, b: Column, centers: Column | str, reach: float) -> Column:
-    return F.forall(col(centers), lambda c: point_segment_distance(c, a, b) > reach)
+def segment_clear(a: Column, b: Column, boxes: Column | str, margin: float = 6) -> Column:
+    """Whether the segment between two centres keeps from every other node's centre by half its longer side and a margin; to touch is to keep.
+
+    boxes: those of the other nodes, the two ends left out.
+    """
+    reach = lambda k: F.greatest(_at(k, 2) - _at(k, 0), _at(k, 3) - _at(k, 1)) / 2 + margin
+    return F.forall(col(boxes), lambda k: point_segment_distance(box_center(k), a, b) >= reach(k))
 
 
 def best_detour(paths: Column | str, boxes: Column | str) -> Column:
-    """Of candidate paths the one with the fewest hits, then the shortest."""
-    scored = F.transform(col(paths), lambda p: F.struct(path_blocks(p, boxes).alias("hits"), path_length(p).alias("length"), p.alias("path")))
+    """Of candidate paths the one with the fewest hits, then the shortest, then the first."""
+    scored = F.transform(col(paths), lambda p, i: F.struct(path_blocks(p, boxes).alias("hits"), path_length(p).alias("length"), i.alias("i"), p.alias("path")))
     return F.array_min(scored)["path"]
 
 
+def detour_candidates(start: Column | str, end: Column | str, boxes: Column | str, near: Column | float, far: Column | float, width: int = 1200, height: int = 800, edge: int = 32, reach: int = 40) -> Column:
+    """Two paths of four points around the boxes between two points, beside the dominant axis: by ``near`` before the least and by ``far`` behind the greatest side, inside the canvas."""
+    s, e, k = col(start), col(end), col(boxes)
+    flat = F.abs(_at(e, 0) - _at(s, 0)) >= F.abs(_at(e, 1) - _at(s, 1))
+
+    def around(along: int, across: int, size: int) -> Column:
+        low, high = F.least(_at(s, along), _at(e, along)) - reach, F.greatest(_at(s, along), _at(e, along)) + reach
+        met = F.filter(k, lambda b: (_at(box_center(b), along) >= low) & (_at(box_center(b), along) <= high))
+        ends = F.array(_at(s, across).cast("double"), _at(e, across).cast("double"))
+        least = F.array_min(F.concat(F.transform(met, lambda b: _at(b, across).cast("double")), ends))
+        most = F.array_max(F.concat(F.transform(met, lambda b: _at(b, across + 2).cast("double")), ends))
+        pair = (lambda a, c: point(a, c)) if along == 0 else (lambda a, c: point(c, a))
+        bent = lambda at: F.array(point(_at(s, 0), _at(s, 1)), pair(_at(s, along), at), pair(_at(e, along), at), point(_at(e, 0), _at(e, 1)))
+        return F.array(bent(F.greatest(F.lit(float(edge)), least - near)), bent(F.least(F.lit(float(size - edge)), most + far)))
+
+    return F.when(flat, around(0, 1, height)).otherwise(around(1, 0, width))
+
+
+def long_same_lane(a: Column | str, b: Column | str, beside: float = 72, apart: float = 220) -> Column:
+    """Whether two centres lie in one row or column and far from each other."""
+    a, b = col(a), col(b)
+    dx, dy = F.abs(_at(b, 0) - _at(a, 0)), F.abs(_at(b, 1) - _at(a, 1))
+    return ((dy <= beside) & (dx >= apart)) | ((dx <= beside) & (dy >= apart))
+
+
 def orient(p: Column | str, orientation: Column | str, width: int, height: int) -> Column:
     """A left-to-right layout point on a canvas of another orientation; truncated to integers."""
     p, o = col(p), col(orientation)

@@ -23,10 +23,14 @@ def groups(text: Column | str, pattern: str, group: int) -> Column:
 
 def parse_attrs(fragment: Column | str) -> Column:
     """map of every name="value"; of a repeated name the last value counts, whatever the session's map policy."""
-    keys, values = groups(fragment, ATTRIBUTE, 1), groups(fragment, ATTRIBUTE, 2)
-    pairs = F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value"), i.alias("at")))
-    last = F.filter(pairs, lambda p: F.array_position(F.reverse(keys), p["key"]) == F.size(keys) - p["at"])
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+    once = F.array(F.struct(groups(fragment, ATTRIBUTE, 1).alias("keys"), groups(fragment, ATTRIBUTE, 2).alias("values")))  # named in a lambda, each would be searched again per attribute
+
+    def pairs(found: Column) -> Column:
+        keys, values = found["keys"], found["values"]
+        named = F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value"), i.alias("at")))
+        return F.filter(named, lambda p: F.array_position(F.reverse(keys), p["key"]) == F.size(keys) - p["at"])
+
+    return F.map_from_entries(F.transform(F.flatten(F.transform(once, pairs)), lambda p: F.struct(p["key"], p["value"])))
 
 
 def normalize_name(name: Column | str) -> Column:

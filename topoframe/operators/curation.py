@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def hash_order(key: str) -> Column:
-    """A multiplicative hash of an integer key, below 2**32."""
-    return (F.col(key) * F.lit(2654435761)) % F.lit(4294967296)
+    """A multiplicative hash of the low 31 bits of an integer key, below 2**32; any long is a key."""
+    return (F.pmod(F.col(key).cast("long"), F.lit(1 << 31)) * F.lit(2654435761)) % F.lit(4294967296)
 
 
 def stratified_split(rows: DataFrame, strata: list[str], order: Column, key: str, share: tuple[int, int] = (600, 6000)) -> DataFrame:
@@ -65,9 +65,9 @@ def round_robin(rows: DataFrame, strata: list[str], order: Column, key: str, lim
 
 
 def last_by_key(rows: DataFrame, key: list[str], seq: Column | str) -> DataFrame:
-    """Of an append log the last record per key."""
+    """Of an append log the last record per key; of records with the same number the one whose content's hash is greatest."""
     seq = F.col(seq) if isinstance(seq, str) else seq
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(seq.desc()))).filter("_n = 1").drop("_n")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(seq.desc(), F.xxhash64(F.to_json(F.struct(*rows.columns))).desc()))).filter("_n = 1").drop("_n")
 
 
 def rebalance(rows: DataFrame, group: list[str], key: str, seq: str, order: list[Column], target: Column | str) -> DataFrame:
@@ -109,3 +109,22 @@ def duplicate_suffix(rows: DataFrame, group: list[str], name: str, order: str, s
 def shard(rows: DataFrame, index: str, n: int, k: int) -> DataFrame:
     """The rows that shard k of n works on."""
     return rows.filter(F.col(index) % n == k)
+
+
+def reviewed_rows(manifest: DataFrame, records: DataFrame, key: list[str], seq: str) -> DataFrame:
+    """Manifest rows with the last review record of their key; rows never reviewed, and records without a row, are left out."""
+    return manifest.join(last_by_key(records, key, seq), key)
+
+
+def passed_source(source: DataFrame, screened: DataFrame, key: list[str], passed: Column) -> DataFrame:
+    """Rows of a source pool whose screening record passed; the record's columns stay behind."""
+    return source.join(screened.filter(passed).select(*key).distinct(), key, "left_semi")
+
+
+def rebalanced_domain(selected: DataFrame, source: DataFrame, mine: Column, group: list[str], key: str, order: list[Column], targets: DataFrame) -> DataFrame:
+    """Rows of other domains as they are, and of this one the first ``target`` of each group in order, drawn from its selected and its
+    source rows; of rows with the same key the source's counts. targets: (group, target); groups without a target give none.
+    """
+    pool = selected.filter(mine).withColumn("_from", F.lit(0)).unionByName(source.withColumn("_from", F.lit(1)))
+    chosen = rebalance(pool.join(targets, group), group, key, "_from", order, "target").select(*selected.columns)
+    return selected.filter(~F.coalesce(mine, F.lit(False))).unionByName(chosen)

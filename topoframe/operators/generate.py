@@ -42,7 +42,7 @@ def _case(rng: random.Random, difficulty: str, names: list[str]) -> tuple[list[d
 
 def _valid(nodes: list[dict], edges: list[dict], margin: int = 8) -> bool:
     boxes = [n["box"] for n in nodes]
-    apart = lambda a, b: a[2] + margin <= b[0] or b[2] + margin <= a[0] or a[3] + margin <= b[1] or b[3] + margin <= a[1]
+    apart = lambda a, b: a[2] + margin < b[0] or b[2] + margin < a[0] or a[3] + margin < b[1] or b[3] + margin < a[1]
     ends = {e[k] for e in edges for k in ("source", "target")}
     return all(apart(a, b) for i, a in enumerate(boxes) for b in boxes[:i]) and ends == {n["id"] for n in nodes}
 

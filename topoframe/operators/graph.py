@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topoframe.functions import geometry as G
 from topoframe.functions.geometry import path_length
 
 
@@ -83,6 +84,115 @@ def interval_clusters(segments: DataFrame, bucket: list[str], lo: str, hi: str,
     return out.withColumn("rank", F.dense_rank().over(Window.partitionBy(*bucket, "cluster").orderBy("edge")))
 
 
+def axis_shifts(edges: DataFrame, graph: str, gap: float = 10.0, pad: float = 4.0, straight: float = 2.0) -> DataFrame:
+    """(graph, edge, dx, dy): how far edges move so that segments on a shared axis lie side by side.
+
+    edges: (graph, edge, path of integer points). Nearly straight segments share an axis where their mean coordinate falls into one
+    step of four; clusters are as in interval_clusters(). An edge moves once, by its place in the first cluster that holds
+    it: axes in the order of their first segment, clusters along the axis. Edges that don't move are left out.
+    """
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(i.alias("seg"), F.get("path", i - 1).alias("p"), F.get("path", i).alias("q")))
+    s = edges.filter(F.size("path") >= 2).select(graph, "edge", F.explode(steps).alias("s")).select(graph, "edge", "s.*")
+    at = lambda c, i: F.get(c, F.lit(i)).cast("double")
+    flat, upright = F.abs(at("p", 1) - at("q", 1)) <= straight, F.abs(at("p", 0) - at("q", 0)) <= straight
+    s = s.withColumn("axis", F.when(flat, "h").when(upright, "v")).filter("axis is not null")
+    along = lambda f: F.when(F.col("axis") == "h", f(at("p", 0), at("q", 0))).otherwise(f(at("p", 1), at("q", 1)))
+    across = F.when(F.col("axis") == "h", at("p", 1) + at("q", 1)).otherwise(at("p", 0) + at("q", 0))
+    s = s.select(graph, "edge", "seg", "axis", (F.bround(across / 4) * 4).alias("coord"), along(F.least).alias("lo"), along(F.greatest).alias("hi"))
+    bucket = [graph, "axis", "coord"]
+    s = s.withColumn("first", F.min(F.struct("edge", "seg")).over(Window.partitionBy(*bucket)))
+    rows = interval_clusters(s, bucket, "lo", "hi", pad).groupBy(*bucket, "cluster").agg(F.first("first").alias("first"), F.array_sort(F.collect_set("edge")).alias("ids")).filter(F.size("ids") > 1)
+    rows = rows.select(graph, "axis", "cluster", "first", F.size("ids").alias("n"), F.posexplode("ids").alias("k", "edge"))
+    move = F.bround((F.col("k") - (F.col("n") - 1) / 2) * gap).cast("int")
+    best = rows.withColumn("move", move).groupBy(graph, "edge").agg(F.min(F.struct("first", "cluster", "axis", "move")).alias("b"))
+    return best.select(graph, "edge", F.when(F.col("b.axis") == "v", F.col("b.move")).otherwise(0).alias("dx"), F.when(F.col("b.axis") == "h", F.col("b.move")).otherwise(0).alias("dy"))
+
+
+def multilink_types(edges: DataFrame, graph: str, roll: Column, level: str, pick: Column, types: tuple[str, ...] = ("power", "signal", "wire")) -> DataFrame:
+    """(graph, source, target, type) of edges to add so that some pairs get parallel links.
+
+    roll in [0, 1) decides per graph: none, light (one pair up to 2 links) or heavy (two edges' pairs up to 3), by difficulty. The
+    edges that are chosen come first in the order of ``pick``; types that a pair lacks are taken in the given order.
+    """
+    light = {"simple": (0.0, 0.22), "medium": (0.03, 0.25)}
+    low, high = F.lit(0.18), F.lit(0.55)
+    for name, (a, b) in light.items():
+        low, high = F.when(F.col(level) == name, a).otherwise(low), F.when(F.col(level) == name, b).otherwise(high)
+    chosen = edges.withColumn("_want", F.when(roll < low, 3).when(roll < high, 2)).filter("_want is not null")
+    chosen = chosen.withColumn("_r", F.row_number().over(Window.partitionBy(graph).orderBy(pick, "source", "target", "type"))).filter(F.col("_r") <= F.when(F.col("_want") == 3, 2).otherwise(1))
+    pairs = chosen.groupBy(graph, "source", "target").agg(F.max("_want").alias("want"))
+    have = edges.join(pairs, [graph, "source", "target"]).groupBy(graph, "source", "target", "want").agg(F.count("*").alias("n"), F.collect_set("type").alias("t"))
+    missing = F.array_except(F.array(*map(F.lit, types)), "t")
+    added = F.slice(missing, F.lit(1), F.greatest(F.lit(0), F.least(F.size(missing), (F.col("want") - F.col("n")).cast("int"))))
+    return have.select(graph, "source", "target", F.explode(added).alias("type"))
+
+
+def link_types(edges: DataFrame, graph: str, num: str, draw, most: int = 5) -> DataFrame:
+    """edges with ``label``: the number, from 0, of the link type each gets among its graph's types, and ``labels``, how many there are.
+
+    A graph has as many types as edges up to two, else a drawn number of three to ``most``, and at least as many as parallel edges
+    of a pair up to ``most``. Parallel edges get different types, from a drawn one on; other edges a drawn one each.
+    draw(salt, columns) gives a whole number from 0 for integer columns.
+    """
+    w, pair = Window.partitionBy(graph), Window.partitionBy(graph, "source", "target")
+    out = edges.withColumns({"_n": F.count("*").over(w), "_p": F.count("*").over(pair), "_i": F.row_number().over(pair.orderBy(num)) - 1, "_f": F.min(num).over(pair)})
+    out = out.withColumn("_m", F.max("_p").over(w))
+    top = F.least(F.col("_n"), F.lit(most))
+    low = F.greatest(F.lit(3), F.least(top, F.col("_m")))
+    labels = F.when(top <= 2, top).otherwise(low + draw(1, [graph]) % (top - low + 1))
+    out = out.withColumn("labels", labels.cast("int"))
+    parallel = (F.col("_p") > 1) & (F.col("_i") < F.col("labels"))
+    label = F.when(parallel, (draw(2, [graph, "_f"]) + F.col("_i")) % F.col("labels")).otherwise(draw(3, [graph, num]) % F.col("labels"))
+    return out.withColumn("label", label.cast("int")).drop("_n", "_p", "_i", "_f", "_m")
+
+
+def reversed_edges(edges: DataFrame, nodes: DataFrame, graph: str, drawn: Column, path: str = "path") -> DataFrame:
+    """Edges, those that are drawn turned round with their paths; none out of a start or split, none into an end or merge. nodes: (graph, id, role)."""
+    role = lambda end: nodes.select(graph, F.col("id").alias(end), F.col("role").alias(f"_{end}"))
+    found = edges.join(role("source"), [graph, "source"], "left").join(role("target"), [graph, "target"], "left")
+    kept = F.coalesce(F.col("_source").isin("start", "split"), F.lit(False)) | F.coalesce(F.col("_target").isin("end", "merge"), F.lit(False))
+    turned = found.withColumn("_turn", ~kept & F.coalesce(drawn, F.lit(False)))
+    flip = lambda a, b: F.when(F.col("_turn"), F.col(b)).otherwise(F.col(a))
+    new = {"source": flip("source", "target"), "target": flip("target", "source"), path: F.when(F.col("_turn"), F.reverse(path)).otherwise(F.col(path))}
+    return turned.select(*(new[c].alias(c) if c in new else F.col(c) for c in edges.columns))
+
+
+def valid_graphs(nodes: DataFrame, edges: DataFrame, negatives: DataFrame, graph: str, margin: float = 8) -> DataFrame:
+    """(graph, valid): every node has an asset, no two boxes come within the margin, all ends are nodes, and directed edges have room for a head.
+
+    nodes: (graph, id, box, asset); edges: (graph, source, target, type, path); negatives: (graph, source, target). Boxes are compared
+    along one axis after sorting a graph's nodes, inside one row per graph.
+    """
+    boxes = F.array_sort(F.collect_list("box"))
+    pairs = F.exists("boxes", lambda x: F.size(F.filter("boxes", lambda y: G.boxes_overlap(x, y, margin))) > 1)
+    own = nodes.groupBy(graph).agg(F.bool_and(F.col("asset").isNotNull()).alias("assets"), boxes.alias("boxes"), F.collect_set("id").alias("ids"))
+    bare = (F.col("type") == "directed") & (F.size(G.arrowhead(G.visible_path("path"))) == 0)
+    ends = edges.select(graph, "source", "target", F.coalesce(bare, F.lit(False)).alias("bare")).unionByName(negatives.select(graph, "source", "target", F.lit(False).alias("bare")))
+    used = ends.groupBy(graph).agg(F.array_union(F.collect_set("source"), F.collect_set("target")).alias("used"), F.bool_or("bare").alias("bare"))
+    known = F.size(F.array_except(F.coalesce("used", F.expr("cast(array() as array<string>)")), "ids")) == 0
+    return own.join(used, graph, "left").select(graph, (F.col("assets") & ~pairs & known & ~F.coalesce("bare", F.lit(False))).alias("valid"))
+
+
+def edge_records(edges: DataFrame, scale: float = 0.9, clearance: float = 12) -> DataFrame:
+    """Edges as records of an annotation: trimmed path, its start, middle and end, arrow and heads, all points scaled. edges: (..., type, path)."""
+    shown = G.visible_path("path", clearance)
+    out = edges.withColumn("_v", shown)
+    points = lambda c: F.transform(c, lambda p: G.scale(p, scale))
+    none = F.expr("cast(array() as array<array<int>>)")
+    to, both = F.col("type").isin("directed", "bidirectional"), F.col("type") == "bidirectional"
+    end = G.scale(F.get("_v", F.size("_v") - 1), scale)
+    heads = F.struct(F.when(to, points(G.arrowhead("_v"))).otherwise(none).alias("target"), F.when(both, points(G.arrowhead(F.reverse("_v")))).otherwise(none).alias("source"))
+    columns = {"path": points("path"), "visible_path": points("_v"), "start": G.scale(F.get("_v", F.lit(0)), scale), "mid": G.scale(G.midpoint("_v"), scale), "end": end, "arrow": F.when(to, end), "arrowheads": heads}
+    return out.withColumns(columns).drop("_v")
+
+
+def node_records(nodes: DataFrame, scale: float = 0.9) -> DataFrame:
+    """Nodes as records of an annotation: boxes and centre scaled, the asset by its file name. nodes: (..., box, image_box, text_box, asset)."""
+    scaled = lambda c: F.when(F.col(c).isNotNull(), G.scale(c, scale))
+    file = F.substring_index("asset", "/", -1)
+    return nodes.withColumns({"center": G.scale(G.box_center("box"), scale), "box": G.scale("box", scale), "image_box": scaled("image_box"), "text_box": scaled("text_box"), "asset": file})
+
+
 def first_edges(edges: DataFrame, graph: str, pos: str, ordered: bool = False, by_type: bool = False) -> DataFrame:
     """The first edge of each (un)ordered pair, or pair and type."""
     ends = ["source", "target"] if ordered else [F.least("source", "target"), F.greatest("source", "target")]

@@ -40,12 +40,25 @@ def with_rates(df: DataFrame) -> DataFrame:
 
 
 def trace_rates(df: DataFrame, group: list[str]) -> DataFrame:
-    """Sums and rates of trace_scores() rows; mean distances are null where nothing was valid."""
+    """Sums and rates of trace_scores() rows. Ends and distances are per valid trace; mean distances are null where nothing was valid.
+
+    Counters of the raw output (raw_traces, duplicate_ids, opened, closed) are summed where df has them.
+    """
     names = ["gold_traces", "pred_traces", "joined", "unknown_ids", "valid5", "start_within_12", "end_within_12", "both_within_12", "start_within_20", "end_within_20", "count_exact", "id_set_exact"]
+    names += [n for n in ("raw_traces", "duplicate_ids", "opened", "closed") if n in df.columns]
     out = df.groupBy(*group).agg(F.count("*").alias("groups"), *(F.sum(n).cast("long").alias(n) for n in names), F.sum("aligned_l2_sum").alias("_l2"), F.sum("chamfer_sum").alias("_ch"))
-    rates = {f"{n}_rate": F.round(ratio(n, "gold_traces"), 6) for n in ("joined", "valid5", "both_within_12")}
-    rates |= {"count_exact_rate": F.round(ratio("count_exact", "groups"), 6), "mean_aligned_l2": F.round(F.try_divide("_l2", "valid5"), 4), "mean_chamfer": F.round(F.try_divide("_ch", "valid5"), 4)}
-    return out.withColumns(rates).drop("_l2", "_ch")
+    rates = {"trace_recall": ("joined", "gold_traces"), "valid5_per_gold": ("valid5", "gold_traces"), "valid5_per_joined": ("valid5", "joined"), "count_exact_rate": ("count_exact", "groups"), "id_set_exact_rate": ("id_set_exact", "groups")}
+    rates |= {f"{n}_rate": (n, "valid5") for n in ("start_within_12", "end_within_12", "both_within_12", "start_within_20", "end_within_20")} | ({"closed_rate": ("closed", "groups")} if "closed" in names else {})
+    out = out.withColumns({k: F.round(ratio(a, b), 6) for k, (a, b) in rates.items()})
+    return out.withColumns({"mean_aligned_l2": F.round(F.try_divide("_l2", "valid5"), 4), "mean_chamfer": F.round(F.try_divide("_ch", "valid5"), 4)}).drop("_l2", "_ch")
+
+
+def output_rates(df: DataFrame, group: list[str]) -> DataFrame:
+    """Sums and rates of scoring.output_counters() rows: traces per predicted edge, and groups of malformed output."""
+    names = ["trace_present", "trace_valid5", "pred_edges", "edge_groups", "edge_format_errors"]
+    out = df.groupBy(*group).agg(*(F.sum(n).cast("long").alias(n) for n in names))
+    rates = {"trace_present_per_pred_edge": ("trace_present", "pred_edges"), "trace5_valid_per_pred_edge": ("trace_valid5", "pred_edges"), "edge_group_format_error_rate": ("edge_format_errors", "edge_groups")}
+    return out.withColumns({k: F.round(ratio(a, b), 6) for k, (a, b) in rates.items()})
 
 
 def error_histogram(df: DataFrame, errors: str, group: list[str] | None = None) -> DataFrame:
@@ -94,3 +107,17 @@ def check_failures(records: DataFrame) -> DataFrame:
 def passed_flag() -> Column:
     """status OK and overall PASS; anything missing is not a pass."""
     return F.coalesce((F.col("status") == "OK") & (F.col("result.overall") == "PASS"), F.lit(False))
+
+
+def qa_histograms(records: DataFrame) -> DataFrame:
+    """(kind, value, n) of QA records in one pass: API errors by message; of the other records scores, parse errors and failed checks."""
+    api, result = F.col("status") == "API_ERROR", F.col("result")
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    error = F.coalesce("parse_error", F.lit("None"))
+    failed = F.transform(F.map_keys(F.map_filter(result["checks"], lambda _, v: v == "FAIL")), lambda c: entry("check_failures", c))
+    judged = F.concat(
+        F.array_compact(F.array(F.when(result["quality_score"].isNotNull(), entry("quality_scores", result["quality_score"])), F.when(F.coalesce("parse_error", F.lit("")) != "", entry("parse_errors", F.col("parse_error"))))),
+        F.coalesce(failed, F.expr("cast(array() as array<struct<kind:string,value:string>>)")),
+    )
+    rows = records.select(F.explode(F.when(F.coalesce(api, F.lit(False)), F.array(entry("api_errors", error))).otherwise(judged)).alias("x"))
+    return rows.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))

@@ -47,11 +47,11 @@ def prf(prefix: str = "") -> list[Column]:
 def sample_scores(nodes_pred: DataFrame, nodes_gold: DataFrame, mapping: DataFrame, edges_pred: DataFrame, edges_gold: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
     """One wide row of counters per sample: node, endpoint and typed overlaps, exact pairs and graphs, mapped nodes.
 
-    nodes: (key, name) with normalised names; edges_pred: ends already remapped. Samples without rows have zeros, and their
+    nodes: (key, name) with normalised names, of which empty ones don't count; edges_pred: ends already remapped. Samples without rows have zeros, and their
     empty graphs are equal.
     """
     parts = [
-        overlap(nodes_pred, nodes_gold, [key], ["name"], "node_"),
+        overlap(nodes_pred.filter("name <> ''"), nodes_gold.filter("name <> ''"), [key], ["name"], "node_"),
         overlap(edges_pred, edges_gold, [key], ["source", "target"], "endpoint_").drop("endpoint_exact"),
         overlap(edges_pred, edges_gold, [key], ["source", "target", "type"], "typed_"),
         pair_exact(edges_pred, edges_gold, [key], ["source", "target"], "type"),
@@ -64,6 +64,18 @@ def sample_scores(nodes_pred: DataFrame, nodes_gold: DataFrame, mapping: DataFra
     return wide.withColumns({"node_count_exact": (F.col("node_pred") == F.col("node_gt")).cast("int"), "sample_multigraph_exact": exact}).drop("node_exact", "typed_exact")
 
 
+def output_counters(edges: DataFrame, infos: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Per sample: predicted edges, those with a trace and with a valid one, groups of output and those with a format error.
+
+    edges: parsing.edges() rows; infos: parsing.edge_info() rows, one per group. Both sides are tagged and summed in one exchange.
+    """
+    zero = F.lit(0)
+    found = edges.select(key, F.col("trace").isNotNull().cast("int").alias("trace_present"), F.coalesce("trace.points_valid", F.lit(False)).cast("int").alias("trace_valid5"), F.lit(1).alias("pred_edges"), zero.alias("edge_groups"), zero.alias("edge_format_errors"))
+    outputs = infos.select(key, zero.alias("trace_present"), zero.alias("trace_valid5"), zero.alias("pred_edges"), F.lit(1).alias("edge_groups"), F.col("format_error").isNotNull().cast("int").alias("edge_format_errors"))
+    names = [c for c in outputs.columns if c != key]
+    return found.unionByName(outputs).groupBy(key).agg(*(F.sum(c).alias(c) for c in names))
+
+
 def trace_scores(pred: DataFrame, gold: DataFrame, key: str = "sample_id", edge: str = "edge_id") -> DataFrame:
     """Per sample: joined, unknown, valid traces, ends within 12 and 20 px and distance sums.
 

@@ -61,7 +61,7 @@ def endpoint_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {V.NODES} SELECT a.sample_id, a.id AS a, b.id AS b FROM nodes a JOIN nodes b ON a.sample_id = b.sample_id AND a.pos < b.pos
-WHERE NOT (a.x2 + 8 <= b.x1 OR b.x2 + 8 <= a.x1 OR a.y2 + 8 <= b.y1 OR b.y2 + 8 <= a.y1)""")
+WHERE NOT (a.x2 + 8 < b.x1 OR a.x1 - 8 > b.x2 OR a.y2 + 8 < b.y1 OR a.y1 - 8 > b.y2)""")
 def bbox_overlap_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = V.nodes(spark, sf_dir)
     a, b = n.select("sample_id", F.col("id").alias("a"), F.col("pos").alias("pa"), F.col("box").alias("ba")), n.select("sample_id", F.col("id").alias("b"), F.col("pos").alias("pb"), F.col("box").alias("bb"))
@@ -159,7 +159,7 @@ def path_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     straight, bent = F.array(F.get("points", F.lit(0)), F.get("points", F.lit(4))), F.array(F.get("points", F.lit(0)), F.get("points", F.lit(2)), F.get("points", F.lit(4)))
     return g.select(
         "sample_id", "edge_id", F.round(G.path_length("points"), 4).alias("length"), G.path_blocks("points", "boxes").alias("blocks"), F.size(G.best_detour(F.array(straight, bent), "boxes")).alias("detour_points"),
-        F.transform(G.boundary_point("source_box", F.get("points", F.lit(4))), lambda v: F.round(v, 4)).alias("boundary"), F.size(G.visible_path("points", 12)).alias("visible_points"), G.arrowhead("points").alias("arrowhead"),
+        G.boundary_point("source_box", F.get("points", F.lit(4))).alias("boundary"), F.size(G.visible_path("points", 12)).alias("visible_points"), G.arrowhead("points").alias("arrowhead"),
     )
 
 

@@ -24,4 +24,4 @@ def query(oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import curation_queries, edge_queries, graph_queries, text_queries  # noqa: F401
+    from . import annotation_queries, curation_queries, edge_queries, graph_queries, text_queries  # noqa: F401

@@ -20,7 +20,7 @@ def parse_attr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.select(F.explode(X.parse_attrs("frag")).alias("attr", "value")).groupBy("attr").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
 
 
-def _graph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as an edge graph: a TRACE before some edges, aimed at the wrong target for every seventh part."""
     part = F.col("l_partkey") % 10
     aim = F.when(F.col("l_partkey") % 7 == 0, part + 1).otherwise(part)
@@ -36,13 +36,13 @@ def _graph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey AS sample_id, 'o' || l_orderkey AS source, 'p' || (l_partkey % 10) AS target, l_returnflag AS type, l_returnflag <> 'N' AND l_partkey % 7 <> 0 AS has_trace,
   count(*) AS n, CAST(sum(CAST(l_returnflag <> 'N' AND l_partkey % 7 <> 0 AND l_suppkey % 3 <> 0 AS INTEGER)) AS BIGINT) AS valid5 FROM lineitem GROUP BY ALL""")
 def tag_pairing_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = parsing.edges(_graph_texts(spark, sf_dir)).withColumns({"has_trace": F.col("trace").isNotNull(), "ok": F.coalesce("trace.points_valid", F.lit(False))})
+    got = parsing.edges(graph_texts(spark, sf_dir)).withColumns({"has_trace": F.col("trace").isNotNull(), "ok": F.coalesce("trace.points_valid", F.lit(False))})
     return got.groupBy("sample_id", "source", "target", "type", "has_trace").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("valid5"))
 
 
 @query("SELECT l_orderkey AS sample_id, true AS has_open, true AS has_close, CAST(count(*) FILTER (WHERE l_returnflag <> 'N') AS INTEGER) AS num_trace_tags, 1 AS num_check_nodes, CAST(NULL AS VARCHAR) AS format_error FROM lineitem GROUP BY 1")
 def edge_graph_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.edge_info(_graph_texts(spark, sf_dir))
+    return parsing.edge_info(graph_texts(spark, sf_dir))
 
 
 def _node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,14 +106,14 @@ def prompt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sft.prompt_groups(V.nodes(spark, sf_dir), "sample_id", ["pos"], 3).groupBy("sample_id", "grp").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@query("""WITH i AS (SELECT doc_id, unnest(range(CAST(n_chars % 20 AS BIGINT))) AS i FROM documents)
-SELECT doc_id, CAST(count(*) FILTER (WHERE i >= 5 AND i <> 7) AS BIGINT) AS kept, CAST(sum(CASE WHEN i >= 5 AND i <> 7 THEN i ELSE -100 END) AS BIGINT) AS total FROM i GROUP BY doc_id""")
+@query("""WITH d AS (SELECT doc_id, coalesce(n_chars, 0) AS n FROM documents), k AS (SELECT doc_id, n, CASE WHEN n <= 5 THEN 0 WHEN n <= 7 THEN n - 5 ELSE n - 6 END AS kept FROM d)
+SELECT doc_id, CAST(kept AS BIGINT) AS kept, CAST(CASE WHEN n <= 5 THEN 0 ELSE n * (n - 1) // 2 - 10 - CASE WHEN n > 7 THEN 7 ELSE 0 END END - 100 * (n - kept) AS BIGINT) AS total FROM k""")
 def loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids 0, 1, 2, ...; a prompt of five, padding id 7."""
-    n = F.col("n_chars") % 20
-    ids = V.table(spark, sf_dir, "documents").filter(n > 0).select("doc_id", F.sequence(F.lit(0).cast("long"), n - 1).alias("ids"))
-    got = ids.select("doc_id", F.explode(sft.loss_mask("ids", F.lit(5), 7)).alias("x"))
-    return got.groupBy("doc_id").agg(F.count_if(F.col("x") != -100).alias("kept"), F.sum("x").alias("total"))
+    """Token ids 0, 1, 2, ..., one for each character of the whole text; a prompt of five, padding id 7. An empty text has no ids."""
+    n = F.coalesce(F.col("n_chars"), F.lit(0)).cast("long")
+    ids = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    got = V.table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", sft.loss_mask("ids", F.lit(5), 7).alias("x"))
+    return got.select("doc_id", F.size(F.filter("x", lambda v: v != -100)).cast("long").alias("kept"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
 @query("""SELECT p.p_name AS label, s.style, v.variant, trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '_') || '_' || s.style || '_' || lpad(CAST(v.variant AS VARCHAR), 2, '0') || '.png' AS file,

@@ -73,7 +73,8 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, keys: tuple[str, ...] = ("split", "domain", "difficulty"), mode: str = "errorifexists") -> None:
-    df.repartition(*keys).write.mode(mode).partitionBy(*keys).json(path)
+    """Folders by keys. The rows are rebalanced by them, so adaptive execution splits the folders of a large group over several tasks."""
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).json(path)
 
 
 def checkpoints(df: DataFrame, path: str, parts: dict[str, str], mode: str = "overwrite") -> None:
@@ -88,7 +89,7 @@ def checkpoints(df: DataFrame, path: str, parts: dict[str, str], mode: str = "ov
 
 def write_report(report: DataFrame, path: str, keys: list[str]) -> None:
     """A small grouped report as one pretty JSON document, ordered by its keys; written by one task."""
-    rows = report.orderBy(*keys).agg(F.collect_list(F.struct(*report.columns)).alias("rows"))
+    rows = report.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*keys).alias("k"), F.struct(*report.columns).alias("r")))), lambda x: x["r"]).alias("rows"))
     rows.select(F.to_json("rows", {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
