@@ -195,7 +195,7 @@ def _rate(n1: int, n: int) -> Model:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    Memo.claim("toxicity")
+    Memo.claim("toxicity sample")
     for part in slices(batches):
         texts = part.column(2).to_pylist()
         got = [Example.of(distinct_words(t), y) for y, t in zip(part.column(1).to_pylist(), texts, strict=True)]
@@ -216,14 +216,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, MOST_TOXIC).unionAll(pick(0, MOST_CLEAN))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    got = written(rows.select("doc_id", "toxic", "text").mapInArrow(_examples, "doc_id long, toxic int, features array<long>, terms array<string>, marks array<long>"), "sample")
-    place = F.xxhash64("doc_id", "toxic", "features", "marks")  # rows that share an id are copies or texts of their own
-    seen = sorted({(r.doc_id, r.at, r.toxic, tuple(r.marks)) for r in got.select("doc_id", place.alias("at"), "toxic", "marks").toLocalIterator()})[: MOST_TOXIC + MOST_CLEAN]
-    kept = of_families([((i, at), y, own) for i, at, y, own in seen])
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(_examples, "doc_id long, toxic int, features array<long>, terms array<string>, marks array<long>")
+    got = written(found.withColumn("row", F.monotonically_increasing_id()), "sample")
+    got = got.withColumn("text", F.xxhash64("features", "marks"))  # rows that share an id are copies, or texts of their own
+    seen: dict[tuple, int] = {}
+    for r in got.select("row", "doc_id", "text", "toxic", "marks").toLocalIterator():
+        key = (r.doc_id, r["text"], r.toxic, tuple(r.marks))
+        seen[key] = min(r["row"], seen.get(key, r["row"]))
+    kept = of_families([(seen[k], k[2], k[3]) for k in sorted(seen)[: MOST_TOXIC + MOST_CLEAN]])
     if not kept:
         return _rate(0, 0)
-    ids = spark.createDataFrame(kept, "doc_id long, at long")
-    used = got.withColumn("at", place).join(F.broadcast(ids), ["doc_id", "at"], "left_semi").dropDuplicates(["doc_id", "at"])
+    used = got.join(F.broadcast(spark.createDataFrame([(k,) for k in kept], "row long")), "row", "left_semi")
     labels_ = {r.toxic: r["count"] for r in used.groupBy("toxic").count().collect()}
     n1, n0 = labels_.get(1, 0), labels_.get(0, 0)
     if not n1 or not n0:
@@ -233,8 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = counts.withColumns({"odds": odds, "sure": sure}).filter("odds > 0 and sure > 0").orderBy(F.desc(F.col("sure") * F.sqrt("c1")), "f").limit(MOST_FEATURES)
     prior = {r.f: r.sure / 2 for r in good.select("f", "sure").collect()}
     wanted = F.array(*map(F.lit, sorted({*prior, *(features(t)[0] for t in _SWAP)})))
-    short = used.select("doc_id", "at", "toxic", "terms", F.array_intersect("features", wanted).alias("features")).collect()
-    examples = [Example(np.unique(np.array(r.features, np.int64)), list(r.terms), r.toxic) for r in sorted(short, key=lambda r: (r.doc_id, r["at"]))]
+    short = used.select("doc_id", "text", "toxic", "terms", F.array_intersect("features", wanted).alias("features")).collect()
+    examples = [Example(np.unique(np.array(r.features, np.int64)), list(r.terms), r.toxic) for r in sorted(short, key=lambda r: (r.doc_id, r["text"]))]
     return solve(examples, prior, swap_weight)
 
 
