@@ -382,6 +382,37 @@ def test_edits_touch_little(spark):
     assert edit_counts.edited_counts(docs(spark, (1, "a")).limit(0), path).count() == 0
 
 
+def test_stored_trees_and_a_table_of_edits(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(23)
+    texts = {i: "".join(r.choice(["word ", " x", "\n", "  ", "'s", "12", ", ", "\xe9", "\t", "hello"]) for _ in range(r.choice([0, 3, 200, 3000]))) for i in range(30)}
+    rows = docs(spark, *texts.items(), (40, None), (None, "no id"), (5, texts[5]))
+    trees = edit_counts.build(rows, path, common.scratch(spark, "trees"))
+    edits, want = [], dict(texts) | {40: ""}
+    for i in range(0, 30, 2):
+        for k in range(r.randint(1, 5)):
+            t = want[i]
+            a = r.randint(0, len(t))
+            b = min(len(t), a + r.choice([0, 0, 1, 5, 60]))
+            new = r.choice(["", " a", "\n\n", "  ", "zz", "'s"])
+            edits.append((i, k, a, b, new))
+            want[i] = t[:a] + new + t[b:]
+    edits += [(40, 1, None, None, "now text"), (99, 1, 0, 1, "no such document"), (None, 1, 0, 1, "no id"), (40, 2, 3, 10**6, None)]
+    want[40] = "now"
+    r.shuffle(edits)
+    table = spark.createDataFrame(edits, "doc_id long, seq long, start long, stop long, text string").withColumns({"late": F.lit(3), "counts": F.lit(3)})
+    lib = word_ids.word_ids(path).tokenizer
+    size = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    once = edit_counts.apply(trees, table, path)
+    for turn in (once, edit_counts.apply(common.written(once, "trees-again"), spark.createDataFrame([(3, 1, 0, 0, "again ")], "doc_id long, seq long, start long, stop long, text string"), path)):
+        got = turn.collect()
+        assert len(got) == 33 and all(x.text == (want[x.doc_id] if x.doc_id is not None else "no id") and x.n_tokens == size(x.text) and x.n_chars == len(x.text) for x in got)
+        assert all(x.n_edits == 0 == x.chars_reencoded for x in got if x.doc_id is None or x.doc_id in (1, 5)) and sum(x.doc_id == 5 for x in got) == 2
+        assert all(x.chars_reencoded < 1500 * max(x.n_edits, 1) for x in got)
+        want[3] = "again " + want[3]
+    assert edit_counts.apply(trees.limit(0), table, path).count() == 0 and edit_counts.apply(trees, table.limit(0), path).count() == 33
+
+
 def brute_licenses(text):
     out = set()
     lines, parts = text.split("\n"), re.split(r"\n[ \t\r]*\n", text)

@@ -57,7 +57,7 @@ class WordIds:
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # the word-end vocabulary normalises and drops white space
         self.words = Memo(self._word, WORD_ENTRIES)
-        self.chunks = Memo(self._chunk, 200_000)
+        self.chunks = Memo(self._chunk)
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
