@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 #: Upper bound of entries in a memo table of a worker, some 200 bytes each.
 MEMO_ENTRIES = 600_000
+#: Places of the marks that tell which keys were asked for before; a power of two.
+SEEN = 1 << 21
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -146,6 +148,7 @@ class Memo(dict):
     def __init__(self, make, most: int = MEMO_ENTRIES, longest: int = 48):
         super().__init__()
         self.make, self.most, self.longest, self.old = make, most // 2, longest, {}
+        self.seen = bytearray(SEEN)
         Memo.living.append(self)
 
     def __missing__(self, key):
@@ -160,14 +163,16 @@ class Memo(dict):
         return value
 
     def many(self, keys: list) -> list:
-        """The values of many keys."""
-        out, make, longest = [*map(self.get, keys)], self.make, self.longest
+        """The values of distinct keys. A key is remembered from the second call on that asks for it: most words occur once."""
+        out, make, longest, seen = [*map(self.get, keys)], self.make, self.longest, self.seen
         for i, x in enumerate(out):
             if x is None:
                 key = keys[i]
                 out[i] = value = self.old.get(key) or make(key)
-                if len(key) <= longest:
+                at = hash(key) & SEEN - 1
+                if seen[at] and len(key) <= longest:
                     self[key] = value
+                seen[at] = 1
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -183,6 +188,8 @@ class Memo(dict):
             for memo in cls.living:
                 memo.clear()
                 memo.old = {}
+                memo.seen = bytearray(SEEN)
+            pa.default_memory_pool().release_unused()  # else a reused worker keeps what Arrow freed
         cls.owner = owner
 
 

@@ -52,7 +52,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     """
     memo = _words.get("hash")
     if memo is None:
-        memo = _words["hash"] = Memo(_word_hash)
+        memo = _words["hash"] = Memo(_word_hash, 150_000)
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)

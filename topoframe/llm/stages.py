@@ -52,6 +52,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+#: The stages before leave the executors' memory fuller than the operator alone finds it.
+PACK_WORDS = 200_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents left, in sequences of at most 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2, words=PACK_WORDS)

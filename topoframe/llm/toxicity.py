@@ -248,30 +248,31 @@ def _known(model: Model) -> Memo:
     """A worker's memo of the model's features in a token; another model starts it anew."""
     sign = (model.bias, len(model.weights))
     if _worker.get("sign") != sign:
-        memo = _worker.setdefault("memo", Memo(lambda token: tuple({f for w in _WORD.findall(token) for f in features(w) if f in _worker["weights"]})))
+        memo = _worker.setdefault("memo", Memo(lambda token: tuple({f for w in _WORD.findall(token) for f in features(w) if f in _worker["weights"]}), 300_000))
         memo.clear()
         memo.old = {}
         _worker.update(sign=sign, weights=model.weights)
     return _worker["memo"]
 
 
-def _scores(model: Model):
+def _scores(model: Model, at: int, kept: int):
+    """Scores of the texts in column ``at``; the first ``kept`` columns are passed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.claim("toxicity")
         weights = model.weights
         known = _known(model)
         for part in slices(batches):
-            at = part.num_columns - 1
             out = []
             for text in part.column(at).to_pylist():
-                active: set[str] = set()
+                active: set[int] = set()
                 for token in set(text.lower().split()) if text else ():
                     hit = known[token]
                     if hit:
                         active.update(hit)
                 z = model.bias + math.fsum(weights[f] for f in active)
                 out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
-            yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(out, pa.float64())], [*part.schema.names[:at], "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(out, pa.float64())], [*part.schema.names[:kept], "score"])
 
     return run
 
@@ -285,9 +286,11 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
     keep = docs.columns if keep is None else keep
     if SCORE in keep:
         raise ValueError(f"a column is named {SCORE!r}")
-    given = docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    return given.mapInArrow(_scores(model), schema).toDF(*keep, SCORE)
+    given = docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(keep)))
+    at = keep.index(text_col) if text_col in keep else len(keep)  # a text that is kept goes to Python once
+    schema = T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType())])
+    given = given if at < len(keep) else docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
+    return given.mapInArrow(_scores(model, at, len(keep)), schema).toDF(*keep, SCORE)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, swap_weight: float = 5.0) -> DataFrame:

@@ -29,7 +29,7 @@ _LOWER_UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^ \n{_LET
 #: Texts that aren't plain runs of words between single spaces.
 _ODD = rf"<\|| [ {SPACES}]|[{SPACES}] |^ | $|^$"
 #: Words that a worker remembers, some 200 bytes each.
-WORD_ENTRIES = 900_000
+WORD_ENTRIES = 600_000
 
 
 def _byte_marks() -> dict[int, int]:
@@ -144,10 +144,12 @@ class WordIds:
 _loaded: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, words: int = WORD_ENTRIES) -> WordIds:
+    """The encoder of a vocabulary in this process, which remembers so many words."""
     Memo.claim(path)
     if path not in _loaded:
         _loaded[path] = WordIds(path)
+    _loaded[path].words.most = words // 2
     return _loaded[path]
 
 
