@@ -16,7 +16,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", stages.pack),
 ]
 
-#: No stage but the third has a SQL form; tests/llm holds the stages against brute force.
+#: No stage but the third has a SQL form; tests/llm/test_pipeline.py holds the second to the fourth against brute force, and the first against labels.
 ORACLE_SQL: str | None = None
 
 
