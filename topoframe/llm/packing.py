@@ -79,7 +79,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def _pieces(path: str, end_id: int, size: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path, words)
-        for part in text_slices(batches, 1, most=words * 14):
+        for part in text_slices(batches, 1, most=min(8 << 20, words * 14)):
             ids, at = encoder.columns(part.column(1), end_id)
             data, out = ids.view("u1").data, []
             for doc, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
