@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries, round trips and odd input."""
 
 import math
+import pathlib
 import random
 import re
 import struct
@@ -11,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +151,49 @@ def test_cosine_classes_against_all_pairs(spark, monkeypatch):
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in repeated if x.vec_id) == [(1, 2, 1), (3, 2, 1), (3, 2, 1)]
 
 
+def test_cosine_classes_store_no_pairs_of_blocks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ego, "BLOCK", 1000)
+    r = np.random.default_rng(16)
+    m = r.normal(size=(10_000, 64))
+    m[5000:5100] = m[:100] + r.normal(size=(100, 64)) * 0.1
+    m[7000:7600] = m[100] + r.normal(size=(600, 64)) * 0.2  # a class of which most pairs link
+    m = m.astype(np.float32)
+    pa.parquet.write_table(pa.table({"vec_id": np.arange(len(m)), "embedding": pa.FixedSizeListArray.from_arrays(m.ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    scratch = spark.sparkContext._jvm.java.net.URI(common.shared_dir(spark)).getPath()
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def stored():
+        files = disks.getAllFiles()
+        return {files.apply(i).getPath(): files.apply(i).length() for i in range(files.size())} | {str(f): f.stat().st_size for f in pathlib.Path(scratch).rglob("*") if f.is_file()}
+
+    before = stored()
+    got = ego.cosine_classes(spark.read.parquet(str(tmp_path / "v.parquet"))).toPandas().set_index("vec_id").sort_index()
+    after = stored()
+    assert sum(n for f, n in after.items() if f not in before) < 4 * (tmp_path / "v.parquet").stat().st_size
+    u = m / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = roots(len(m), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i > j])
+    assert got.n_links.tolist() == near.sum(axis=1).tolist() and got.component_id.tolist() == want
+    assert near.sum() > 100_000
+
+
+def test_views_lose_no_pair_at_the_threshold():
+    r = np.random.default_rng(17)
+    x, y = r.normal(size=(2, 400, 40))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    m = np.concatenate([x, 0.9500001 * x + math.sqrt(1 - 0.9500001**2) * y, 0.9499999 * x + math.sqrt(1 - 0.9499999**2) * y])
+    m *= 10.0 ** r.integers(-200, 200, size=(len(m), 1))
+    block = (np.arange(len(m)).tobytes(), np.ones(len(m), np.int64).tobytes(), m.tobytes())
+    for k in (1, 16, 40):
+        axes = np.linalg.qr(r.normal(size=(40, 40)))[0][:, :k]
+        _, weight, label = ego.join_blocks(block, block, axes, 0.95, True)
+        assert label.tolist() == [*range(400)] * 3  # the third of a row links with the second alone
+        assert weight.tolist() == [1] * 400 + [2] * 400 + [1] * 400
+
+
 def test_leaf_links_join_whole_classes():
     label = np.array([0, 1, 2, 2])  # c1, c2 and the class r1, r2; links r1-c1 and r2-c2
     ego._spanned(np.eye(2, dtype=bool), 2, 0, label)

@@ -1,11 +1,12 @@
-"""Embedding near-duplicates by an epsilon grid order join.
-
-cosine(a, b) >= t is the Euclidean distance of the unit vectors being at most eps = sqrt(2 - 2 t). Unit vectors
-are rotated onto leading principal dimensions (an orthonormal projection, so distances only shrink and
-nothing is lost), put in epsilon grid order - lexicographic order of the cells floor(y / eps) - and cut into blocks of
-consecutive vectors. Two blocks are joined unless the gap of their bounding boxes proves
-them distant; inside a pair the two sequences are halved recursively with the same test, and leaves are compared
-exactly in double precision. The axes are fitted on a bounded sample (``SAMPLE`` vectors); they affect speed only.
+"""Embedding near-duplicates by an epsilon join of blocks that tasks read from the shared folder.
+
+cosine(a, b) >= t is the Euclidean distance of the unit vectors being at most eps = sqrt(2 - 2 t). A unit vector is seen through
+its coordinates on the leading principal axes and the length of what they leave over: the cosine of two vectors is
+at most the inner product of these views, and their distance at least that of the views. Distinct vectors are written once; a task reads
+two blocks of them, sorts each in epsilon grid order - lexicographic order of the cells floor(y / eps) -, halves them recursively
+while bounding boxes don't prove them distant, bounds the pairs of a leaf by one product of views, and takes the cosine in double precision
+of those that are left. Nothing but links leaves a task, so neither shuffle nor storage grows with the number of pairs of blocks. The axes
+are fitted on a bounded sample (``SAMPLE`` vectors); they affect speed only.
 """
 
 from __future__ import annotations
@@ -16,68 +17,72 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import prepare, sorted_groups, written
+from .common import discard, prepare, scratch, written
 from .components import components
+from .id_files import _store
 from .vectors import padded, rows
 
-AXES, BLOCK, LEAF, SAMPLE = 8, 4096, 256, 4096
+#: A block has BLOCK vectors and BLOCK_BYTES at most (a worker holds two), of a small table a SPLIT-th but SMALL at least, so that there
+#: are tasks enough; it is read from files of SMALL vectors.
+AXES, BLOCK, BLOCK_BYTES, SMALL, SPLIT, LEAF, SAMPLE = 16, 262_144, 1 << 26, 8192, 16, 512, 4096
+#: Room for errors of single precision in a product of views.
+SLACK = 1e-5
+#: Pairs of a leaf that are verified one by one; more of them by a product of their rows and columns. Links held before they are merged.
+FEW, HELD = 8192, 4_000_000
 
 
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, signs, raw, dims = [], [], [], []
-        for i, v in zip(b.column(0).to_pylist(), rows(b.column(1)), strict=True):
-            scale = 0.0 if v is None else float(np.abs(v).max())
-            ok = scale > 0
-            data = np.ascontiguousarray(v).tobytes() if ok else None
-            ids.append(i)
-            raw.append(data)
-            signs.append(hashlib.blake2b(data, digest_size=16).digest() if ok else None)
-            dims.append(len(v) if ok else 0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(signs, pa.binary()), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "sign", "raw", "dim"])
+def _signed(kind: str, raw: bool):
+    """(vec_id, sign, raw): a digest of each vector that can have links, and its components as numbers of that kind."""
 
-
-def normalised(raw: list[bytes], dim: int) -> np.ndarray:
-    m = np.stack([padded(np.frombuffer(x, np.float64), dim) for x in raw])
-    m = m / np.abs(m).max(axis=1, keepdims=True)  # keeps squares inside the range of doubles
-    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-
-
-def _project(axes: np.ndarray, dim: int, eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                p = b.slice(at, 1024)
-                cells = np.floor(normalised(p.column(2).to_pylist(), dim) @ axes / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*p.columns, *[pa.array(cells[:, k]) for k in range(cells.shape[1])]], [*p.schema.names, *[f"c{k}" for k in range(cells.shape[1])]])
+            data = [v.astype(kind).tobytes() if v is not None and v.any() else None for v in rows(b.column(1))]
+            sign = pa.array([None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in data], pa.binary())
+            columns = {"vec_id": b.column(0), "sign": sign} | ({"raw": pa.array(data, pa.binary())} if raw else {})
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _blocks(axes: np.ndarray, dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, held = TaskContext.get().partitionId(), 0, []
+def _stacked(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
+    return np.stack([padded(np.frombuffer(x, kind), dim) for x in raw]).astype(kind, copy=False)
 
-        def block(rows_: list) -> pa.RecordBatch:
-            y = normalised([r[1] for r in rows_], dim) @ axes
-            cols = [pa.array([part * 1_000_000 + n], pa.int64()), pa.array([y.min(axis=0)], pa.list_(pa.float64())), pa.array([y.max(axis=0)], pa.list_(pa.float64()))]
-            ids, cnt = (np.array([r[k] for r in rows_], np.int64).tobytes() for k in (0, 2))
-            mat = np.stack([padded(np.frombuffer(r[1], np.float64), dim) for r in rows_]).tobytes()
-            return pa.RecordBatch.from_arrays([*cols, pa.array([ids], pa.binary()), pa.array([cnt], pa.binary()), pa.array([mat], pa.binary())], ["block", "lo", "hi", "ids", "cnt", "mat"])
 
-        for b in batches:
-            held += zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("rep", "raw", "copies")), strict=True)
-            while len(held) >= BLOCK:
-                yield block(held[:BLOCK])
-                n, held = n + 1, held[BLOCK:]
-        if held:
-            yield block(held)
+def normalised(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)  # keeps squares inside the range of doubles
+    m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m
+
+
+def _views(mat: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates on the axes and the length of the rest."""
+    out = np.empty((len(mat), axes.shape[1] + 1), np.float32)
+    for at in range(0, len(mat), 8192):
+        y = normalised(mat[at : at + 8192]) @ axes
+        out[at : at + 8192, :-1] = y
+        out[at : at + 8192, -1] = np.sqrt(np.maximum(0, 1 - (y * y).sum(axis=1)))
+    return out
 
-    return run
+
+def _read(folder: str, names: list[str], axes: np.ndarray, kind: str, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, copies, matrix) of a block, in epsilon grid order."""
+    ids, cnt, mats = [], [], []
+    store, root = _store(folder)
+    for name in names:
+        with store.open_input_file(f"{root}/{name}") as source, pq.ParquetFile(source) as file:
+            for b in file.iter_batches(8192, columns=["rep", "copies", "raw"]):
+                ids.append(b.column(0).to_numpy())
+                cnt.append(b.column(1).to_numpy())
+                mats.append(_stacked(b.column(2).to_pylist(), axes.shape[0], kind))
+    mat = np.concatenate(mats)
+    order = np.lexsort(np.floor(_views(mat, axes)[:, :8] / eps).T[::-1])
+    return np.concatenate(ids)[order], np.concatenate(cnt)[order], mat[order]
 
 
 class _Tree:
@@ -135,41 +140,80 @@ def _spanned(mask: np.ndarray, a0: int, b0: int, label: np.ndarray) -> None:
     label[:] = move[label]
 
 
+def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels (the position of a class's first member) after links between u and v."""
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((up := label[label]) != label).any():
+            label = up
+
+
 def join_blocks(left: tuple, right: tuple, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, weights of the vectors linked to each, label: position of the first vector of its class)."""
     dim = axes.shape[0]
-    limit = (2 - 2 * threshold) * (1 + 1e-9) + 1e-9
+    limit = (2 - 2 * threshold) * (1 + 1e-9) + SLACK
     parts = [left] if same else [left, right]
     ids = np.concatenate([np.frombuffer(p[0], np.int64) for p in parts])
     cnt = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts])
-    mat = np.concatenate([np.frombuffer(p[2], np.float64).reshape(-1, dim) for p in parts])
-    unit = mat / np.abs(mat).max(axis=1, keepdims=True)
-    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-    y = unit @ axes
-    split = len(ids) if same else len(parts[0][0]) // 8
+    mats = [p[2] if isinstance(p[2], np.ndarray) else np.frombuffer(p[2], np.float64).reshape(-1, dim) for p in parts]
+    split = len(mats[0])
+    mat = mats[0] if same else np.concatenate(mats)
+    y = _views(mat, axes)
     a = _Tree(y, 0, split)
     b = a if same else _Tree(y, split, len(ids))
     weight, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     for p, q in _leaves(a, b, limit, same):
-        mask = unit[p.start : p.stop] @ unit[q.start : q.stop].T >= threshold
-        if p.start == q.start:
-            np.fill_diagonal(mask, False)
-        if not mask.any():
+        bound = y[p.start : p.stop] @ y[q.start : q.stop].T
+        if bound.max() < threshold - SLACK:
             continue
-        weight[p.start : p.stop] += mask @ cnt[q.start : q.stop]
-        if p.start != q.start:
-            weight[q.start : q.stop] += cnt[p.start : p.stop] @ mask
-        _spanned(mask, p.start, q.start, label)
+        r, c = np.divmod(np.flatnonzero(bound >= threshold - SLACK), q.stop - q.start)
+        if p.start == q.start:
+            r, c = r[r < c], c[r < c]
+        r, c = r + p.start, c + q.start
+        if len(r) <= FEW:
+            near = (normalised(mat[r]) * normalised(mat[c])).sum(axis=1) >= threshold
+            r, c = r[near], c[near]
+            np.add.at(weight, r, cnt[c])
+            np.add.at(weight, c, cnt[r])
+        else:
+            mask = normalised(mat[p.start : p.stop]) @ normalised(mat[q.start : q.stop]).T >= threshold
+            if p.start == q.start:
+                np.fill_diagonal(mask, False)
+            if not mask.any():
+                continue
+            weight[p.start : p.stop] += mask @ cnt[q.start : q.stop]
+            if p.start != q.start:
+                weight[q.start : q.stop] += cnt[p.start : p.stop] @ mask
+            near = np.arange(len(mask) + mask.shape[1])
+            _spanned(mask, 0, len(mask), near)
+            place = np.concatenate([np.arange(p.start, p.stop), np.arange(q.start, q.stop)])
+            r, c = place, place[near]
+        links.append((r, c))
+        held += len(r)
+        if held > HELD:
+            label, links, held = _joined(label, *map(np.concatenate, zip(*links, strict=True))), [], 0
+    if links:
+        label = _joined(label, *map(np.concatenate, zip(*links, strict=True)))
     return ids, weight, label
 
 
-def _join(axes: np.ndarray, threshold: float):
+def _join(folder: str, blocks: list[list[str]], axes: np.ndarray, threshold: float, kind: str, eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (a, b), group in sorted_groups(batches, ["a", "b"]):
-            sides = {r["block"]: (r["ids"], r["cnt"], r["mat"]) for r in group.to_pylist()}
-            ids, weight, label = join_blocks(sides[a], sides[b], axes, threshold, a == b)
-            hit = np.flatnonzero(weight)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(weight[hit]), pa.array(ids[label[hit]])], ["vec_id", "weight", "head"])
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                j = (math.isqrt(8 * k + 1) - 1) // 2
+                i = k - j * (j + 1) // 2
+                left = _read(folder, blocks[i], axes, kind, eps)
+                ids, weight, label = join_blocks(left, left if i == j else _read(folder, blocks[j], axes, kind, eps), axes, threshold, i == j)
+                hit = np.flatnonzero(weight)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(weight[hit]), pa.array(ids[label[hit]])], ["vec_id", "weight", "head"])
 
     return run
 
@@ -183,44 +227,42 @@ def cosine_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str = "v
     """
     spark = prepare(vectors.sparkSession)
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-    all_rows = written(base.mapInArrow(_unit, "vec_id long, sign binary, raw binary, dim int"), "vectors")
-    good = all_rows.filter("vec_id is not null and sign is not null")
-    dim = good.agg(F.max("dim")).first()[0] or 1
+    kind = "<f4" if isinstance(base.schema["v"].dataType.elementType, FloatType) else "<f8"
+    good = base.mapInArrow(_signed(kind, True), "vec_id long, sign binary, raw binary").filter("vec_id is not null and sign is not null")
+    folder = scratch(spark, "copies")
+    once = good.groupBy("sign").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
+    once.write.option("maxRecordsPerFile", min(BLOCK, SMALL)).parquet(folder)
+    discard(spark, folder)
+    classes = spark.read.schema("sign binary, rep long, copies long, raw binary").parquet(folder)
+    files = classes.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n"), F.max(F.octet_length("raw")).alias("size")).orderBy("name").collect()
+    n = sum(f.n for f in files)
+    dim = max((f["size"] for f in files), default=0) // np.dtype(kind).itemsize or 1
     eps = math.sqrt(2 - 2 * threshold) * (1 + 1e-9) + 1e-9
-    sample = [r[0] for r in good.select("raw").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+    few = classes.filter(F.pmod(F.xxhash64("sign"), F.lit(max(1, n // (2 * SAMPLE)))) == 0).orderBy(F.xxhash64("sign"), "sign")
+    sample = [r[0] for r in few.select("raw").limit(SAMPLE).collect()]
     if sample:
-        m = normalised(sample, dim)
+        m = normalised(_stacked(sample, dim, kind))
         _, _, axes = np.linalg.svd(m - m.mean(axis=0), full_matrices=False)
         axes = axes[:AXES].T.copy()
     else:
         axes = np.eye(dim)[:, : min(AXES, dim)]
-    classes = written(good.groupBy("sign").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "copies")
-    n_cells = axes.shape[1]
-    cells = ", ".join(f"c{k} int" for k in range(n_cells))
-    placed = classes.select("rep", "copies", "raw").mapInArrow(_project(axes, dim, eps), f"rep long, copies long, raw binary, {cells}")
-    order = [*(f"c{k}" for k in range(n_cells)), "rep"]
-    n_blocks = max(1, -(-classes.count() // BLOCK))
-    ordered = placed.repartitionByRange(n_blocks, *order).sortWithinPartitions(*order)
-    blocks = written(ordered.mapInArrow(_blocks(axes, dim), "block long, lo array<double>, hi array<double>, ids binary, cnt binary, mat binary"), "blocks")
-
-    first = lambda c: F.floor(F.col(c)[0] / eps).cast("int")
-    meta = blocks.select("block", "lo", "hi")
-    left = meta.select(F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(first("lo"), first("hi"))).alias("cell"))
-    right = meta.select(F.col("block").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(first("lo") - 1, first("hi") + 1)).alias("cell"))
-    gap = F.aggregate(
-        F.sequence(F.lit(0), F.lit(n_cells - 1)),
-        F.lit(0.0),
-        lambda acc, k: acc + F.pow(F.greatest(F.lit(0.0), F.get("alo", k) - F.get("bhi", k), F.get("blo", k) - F.get("ahi", k)), F.lit(2.0)),
-    )
-    pairs = left.join(right, "cell").filter("a <= b").filter(gap <= eps * eps).select("a", "b").distinct()
-    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    work = blocks.select("block", "ids", "cnt", "mat").join(ends, "block").repartition("a", "b").sortWithinPartitions("a", "b")
-    found = written(work.mapInArrow(_join(axes, threshold), "vec_id long, weight long, head long"), "links")
+    blocks: list[list[str]] = []
+    have, most = 0, min(BLOCK, BLOCK_BYTES // (dim * np.dtype(kind).itemsize), max(SMALL, -(-n // SPLIT)))
+    for f in files:
+        if not blocks or have + f.n > most:
+            blocks.append([])
+            have = 0
+        blocks[-1].append(f.name)
+        have += f.n
+    n_pairs = len(blocks) * (len(blocks) + 1) // 2
+    pairs = spark.range(0, n_pairs, 1, max(1, n_pairs))
+    found = written(pairs.mapInArrow(_join(folder, blocks, axes, threshold, kind, eps), "vec_id long, weight long, head long"), "links")
 
     comp = components(found.select(F.col("vec_id").alias("src"), F.col("head").alias("dst")))
     weights = found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("weight").alias("weight"))
     named = classes.select("sign", "rep", "copies").join(weights, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
     named = named.select("sign", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = all_rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("sign")).alias("sign")).join(named, "sign", "left")
+    signs = base.mapInArrow(_signed(kind, False), "vec_id long, sign binary")
+    out = signs.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("sign")).alias("sign")).join(named, "sign", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
