@@ -29,7 +29,7 @@ from .vectors import padded, rows
 
 #: A block has BLOCK vectors and BLOCK_BYTES at most (a worker holds two), of a small table a SPLIT-th but SMALL at least, so that there
 #: are tasks enough; it is read from files of SMALL vectors.
-AXES, BLOCK, BLOCK_BYTES, SMALL, SPLIT, LEAF, SAMPLE = 16, 262_144, 1 << 26, 8192, 16, 512, 4096
+AXES, BLOCK, BLOCK_BYTES, SMALL, SPLIT, LEAF, SAMPLE = 24, 262_144, 1 << 26, 8192, 16, 512, 4096
 #: Room for errors of single precision in a product of views.
 SLACK = 1e-5
 #: Pairs of a leaf that are verified one by one; more of them by a product of their rows and columns. Links held before they are merged.
